@@ -36,25 +36,15 @@ def lookup(key: Column, table: Mapping[str, str]) -> Column:
 # -- product lines ----------------------------------------------------------
 
 def product_line(bnb_type: Column, switch: Column, tags: Column) -> Column:
-    kind, market = known(bnb_type), F.lower(known(switch))
+    line, market = lookup(bnb_type, rules.LINE_OF_TYPE), F.lower(known(switch))
     stay = (
-        F.when(market.contains("taiwan"), "TW")
+        F.when((bnb_type == rules.WHOLE_UNIT_TYPE) & known(tags).contains("camping"), "Camping")
+        .when(market.contains("taiwan"), "TW")
         .when(market.contains("korea"), "KR")
         .when(market.contains("japan"), "JP")
         .otherwise("住宿(其他)")
     )
-    camps_by_tag = (kind == rules.WHOLE_UNIT_TYPE) & known(tags).contains("camping")
-    return (
-        F.when(kind == "Cruise", "Cruise")
-        .when((kind == "Campground") | camps_by_tag, "Camping")
-        .when(kind.isin(rules.STAY_TYPES), stay)
-        .when(kind.isin(rules.SPORT_TYPES), "SEB")
-        .when(kind.isin(rules.RAIL_TYPES), "高鐵")
-        .when(kind == "Group tour", "GIT")
-        .when(kind == "eSIM", "eSIM")
-        .when(kind.isin(rules.DAY_TOUR_TYPES), "Day Tour")
-        .otherwise("其他")
-    )
+    return F.when(line == rules.STAY, stay).otherwise(F.coalesce(line, F.lit("其他")))
 
 
 # -- cruises ----------------------------------------------------------------

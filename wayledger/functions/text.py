@@ -1,7 +1,7 @@
 """Text, number and date coercion as Column expressions.
 
-Whitespace follows Python's definition (Unicode spaces plus U+001C-U+001F), which is why the patterns
-carry ``(?U)``; plain ``\\s`` and ``trim`` would miss the ideographic space.
+Whitespace follows Python's definition (Unicode spaces plus U+001C-U+001F), so neither plain ``\\s`` nor
+a one-argument ``trim`` will do.  Regular expressions are kept for values that need one.
 """
 
 from __future__ import annotations
@@ -12,12 +12,13 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPACE = r"[\s\x1c-\x1f]"
-NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
-DATE = (
-    r"^\s*[0-9]{4}([-/])[0-9]{1,2}\1[0-9]{1,2}"
-    r"([ T][0-9]{1,2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,6})?)?)?\s*$"
+# Every character str.strip() removes, and the same as a character class.
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0"
+    "\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
+ODD_SPACE = r"\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+NUMBER = "decimal(38,19)"
 
 
 def known(text: Column) -> Column:
@@ -26,16 +27,22 @@ def known(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def collapse_spaces(text: Column) -> Column:
-    return strip(F.regexp_replace(text, f"(?U){SPACE}+", " "))
+    """Runs of whitespace become one space, none at the ends."""
+    untidy = text.contains("  ") | text.rlike(f"[{ODD_SPACE}]")
+    return F.trim(F.when(untidy, F.regexp_replace(text, f"[ {ODD_SPACE}]+", " ")).otherwise(text))
+
+
+def strip_markup(text: Column, tag: str) -> Column:
+    return F.when(text.contains("<"), F.regexp_replace(text, rf"</?{tag}[^>]*>", "")).otherwise(text)
 
 
 def has_ink(text: Column) -> Column:
-    """True for text with at least one non-space character; NULL and blanks are false."""
-    return F.coalesce(text.rlike(r"(?U)[^\s\x1c-\x1f]"), F.lit(False))
+    """True for text with at least one non-space character."""
+    return text.isNotNull() & (F.ltrim(text, F.lit(SPACES)) != "")
 
 
 def alternation(words: Iterable[str]) -> str:
@@ -54,8 +61,12 @@ def mentions(text: Column, words: Iterable[str], ignore_case: bool = False) -> C
 
 
 def to_number(text: Column) -> Column:
-    """DOUBLE, or NULL for anything that is not a plain decimal number."""
-    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+    """Number, or NULL for anything that is not a plain decimal number.
+
+    Decimal parsing takes exactly the plain forms ("2.7", "1e3", " 12 "), unlike a cast to double, which
+    also reads "1d" and "NaN".
+    """
+    return text.try_cast(NUMBER)
 
 
 def to_count(text: Column) -> Column:
@@ -65,12 +76,12 @@ def to_count(text: Column) -> Column:
 
 def to_amount(text: Column) -> Column:
     """DOUBLE after dropping thousands commas; unreadable values are 0."""
-    return F.coalesce(to_number(F.replace(text, F.lit(","), F.lit(""))), F.lit(0.0))
+    return F.coalesce(to_number(F.replace(text, F.lit(","), F.lit(""))).cast("double"), F.lit(0.0))
 
 
 def to_moment(text: Column) -> Column:
-    """TIMESTAMP_NTZ from ``yyyy-MM-dd`` or ``yyyy/M/d``, with or without a time; else NULL."""
-    return F.when(text.rlike(DATE), F.replace(text, F.lit("/"), F.lit("-")).try_cast("timestamp_ntz"))
+    """TIMESTAMP_NTZ from year-month-day text with ``-`` or ``/``, with or without a time; else NULL."""
+    return F.replace(text, F.lit("/"), F.lit("-")).try_cast("timestamp_ntz")
 
 
 def moment(value) -> Column:

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from wayledger.functions import classify as C
 from wayledger.functions import rules
-from wayledger.functions.text import collapse_spaces, has_ink, known, to_amount, to_count, to_moment
+from wayledger.functions.text import (
+    collapse_spaces, has_ink, known, strip_markup, to_amount, to_count, to_moment,
+)
 
 MOMENTS = ["order_date", "check_in", "check_out"]
 COUNTS = ["guests", "adult", "child", "nights", "rooms"]
@@ -24,21 +26,22 @@ CLEAN_COLUMNS = [*MOMENTS, *TEXTS, "bnb_name", "bnb_name_lower", "tags", *COUNTS
 
 
 def clean_bookings(raw: DataFrame) -> DataFrame:
-    name = collapse_spaces(F.regexp_replace(known(F.col("bnb_name")), r"</?translate[^>]*>", ""))
-    typed = raw.filter(has_ink(F.col("order_id"))).select(
+    real = has_ink(F.col("order_id"))
+    for word in rules.PSEUDO_ORDER_WORDS:
+        real = real & ~F.col("bnb_name").contains(word)
+    # The filter looks at the name before spaces are collapsed, which cannot create or break a
+    # pseudo-order word, so queries that never show the name do not pay for tidying it.
+    plain = raw.withColumn("bnb_name", strip_markup(known(F.col("bnb_name")), "translate")).filter(real)
+    typed = plain.select(
         *[to_moment(F.col(c)).alias(c) for c in MOMENTS],
         *TEXTS,
-        name.alias("bnb_name"),
+        collapse_spaces(F.col("bnb_name")).alias("bnb_name"),
         F.lower(known(F.col("tags"))).alias("tags"),
         *[to_count(F.col(c)).alias(c) for c in COUNTS],
         to_amount(F.col("twd_amount")).alias("twd_amount"),
     )
-    pseudo = F.lit(False)
-    for word in rules.PSEUDO_ORDER_WORDS:
-        pseudo = pseudo | F.col("bnb_name").contains(word)
     labelled = (
-        typed.filter(~pseudo)
-        .withColumn("bnb_name_lower", F.lower("bnb_name"))
+        typed.withColumn("bnb_name_lower", F.lower("bnb_name"))
         .withColumn("product_line", C.product_line(F.col("bnb_type"), F.col("column_switch_3"), F.col("tags")))
         .withColumns(
             {

@@ -11,7 +11,7 @@ from wayledger.functions import classify as C
 from wayledger.functions import rules
 from wayledger.functions.calendar import lead_days, travel_month
 from wayledger.operators.drivers import ship_compare
-from wayledger.operators.measures import change_pct, compare, compared, differences, orders, regroup, revenue, summarize
+from wayledger.operators.measures import COMPARED, change_pct, compare, compared, differences, orders, regroup, revenue, summarize
 from wayledger.operators.ranking import product_rank, top
 from wayledger.plans.lines import of_line
 
@@ -35,11 +35,10 @@ def trip_length(cruise_type: str) -> Column:
 
 def kpi_cruise(flagged: DataFrame) -> DataFrame:
     """Figures for all cruises and for each type, with mean order value and mean nights."""
-    cruise = of_line(flagged, "Cruise")
-    table = cruise.rollup("cruise_type").agg(
-        *compared(),
-        F.sum(F.when(F.col("is_cur"), F.col("nights"))).alias("nights"),
+    by_type = of_line(flagged, "Cruise").groupBy("cruise_type").agg(
+        *compared(), F.sum(F.when(F.col("is_cur"), F.col("nights"))).alias("nights")
     )
+    table = by_type.rollup("cruise_type").agg(*[F.sum(m).alias(m) for m in (*COMPARED, "nights")])
     scope = F.coalesce("cruise_type", F.lit("Cruise"))
     aov = F.coalesce(F.try_divide("revenue", "orders"), F.lit(0.0))
     prev_aov = F.coalesce(F.try_divide("prev_revenue", "prev_orders"), F.lit(0.0))

@@ -36,6 +36,8 @@ TOTAL, LINE, TYPE, MONTH, CITY, CHANNEL = 0b11111, 0b01111, 0b10111, 0b11011, 0b
 def _levels(flagged: DataFrame, as_of: date) -> DataFrame:
     """Every aggregate the report needs, from one pass over the bookings.
 
+    Bookings are first grouped by all level columns together, so the six-fold expansion of the grouping
+    sets works on those groups and not on bookings.
     Ranks are cut at the number of product lines, the longest list any section prints, so at most that
     many rows per level leave the ranking; Catalyst turns the cut into a per-partition limit first.
     """
@@ -63,8 +65,7 @@ def _levels(flagged: DataFrame, as_of: date) -> DataFrame:
     def amount(flag: str, column: str) -> Column:
         return F.coalesce(F.sum(F.when(F.col(flag), F.col(column))), F.lit(0))
 
-    table = facts.groupingSets(sets, *columns).agg(
-        F.grouping_id().alias("level"),
+    finest = facts.groupBy(*columns).agg(
         F.count_if("is_cur").alias("orders"),
         F.count_if("is_prev").alias("prev_orders"),
         amount("is_cur", "twd_amount").alias("revenue"),
@@ -72,6 +73,10 @@ def _levels(flagged: DataFrame, as_of: date) -> DataFrame:
         amount("is_cur", "nights").alias("nights"),
         F.count_if("is_canceled").alias("canceled"),
     )
+    measures = ["orders", "prev_orders", "revenue", "prev_revenue", "nights", "canceled"]
+    table = finest.groupingSets(sets, *columns).agg(
+        F.grouping_id().alias("level"), *[F.sum(m).alias(m) for m in measures]
+    )
     subject = F.coalesce("channel", "city", "month", "cruise_type", "product_line")
     named = table.withColumn("subject", F.when(F.col("level").isin(LINE, TYPE, MONTH, CHANNEL), subject)
                              .when(F.col("level") == CITY, F.col("city")))

@@ -75,8 +75,7 @@ def catalogue_sql() -> str:
 
 RAW_BOOKINGS = """
 SELECT
-  CASE WHEN l_orderkey % 997 = 3 THEN 'bad-date'
-       ELSE cast(cast(o_orderdate AS date) AS string) END AS order_date,
+  CASE WHEN l_orderkey % 997 = 3 THEN 'bad-date' ELSE cast(ordered AS string) END AS order_date,
   CASE WHEN (l_orderkey * 7 + l_linenumber) % 211 = 0 THEN '  '
        WHEN (l_orderkey * 7 + l_linenumber) % 211 = 1 THEN NULL
        ELSE cast(l_orderkey AS string) || '-' || cast(l_linenumber AS string) END AS order_id,
@@ -87,28 +86,29 @@ SELECT
   'B' || cast(l_partkey % 480 AS string) AS bnb_id,
   name AS bnb_name,
   type AS bnb_type,
-  CASE WHEN l_orderkey % 89 = 5 THEN NULL
-       ELSE cast(cast(o_orderdate AS date) + cast((l_partkey * 7 + l_linenumber * 31) % 240 - 10 AS int) AS string)
-       END AS check_in,
-  cast(cast(o_orderdate AS date) + cast((l_partkey * 7 + l_linenumber * 31) % 240 - 10
-       + cast(l_quantity AS int) % 8 AS int) AS string) AS check_out,
+  CASE WHEN l_orderkey % 89 = 5 THEN NULL ELSE cast(ordered + wait AS string) END AS check_in,
+  cast(ordered + wait + quantity % 8 AS string) AS check_out,
   tags AS tags,
   CASE l_suppkey % 9 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '-' WHEN 3 THEN '0' WHEN 4 THEN ' '
        ELSE 'aff_' || cast(l_suppkey % 9 AS string) END AS affiliate_id,
   CASE WHEN l_linenumber = 1 THEN 'WELCOME' END AS coupon,
   cs3 AS column_switch_3,
-  cast(l_linenumber + cast(l_quantity AS int) % 3 AS string) AS guests,
+  cast(l_linenumber + quantity % 3 AS string) AS guests,
   cast(l_linenumber AS string) AS adult,
-  cast(cast(l_quantity AS int) % 3 AS string) AS child,
+  cast(quantity % 3 AS string) AS child,
   CASE WHEN l_orderkey % 101 = 9 THEN 'x' WHEN l_orderkey % 101 = 10 THEN '2.7'
-       ELSE cast(cast(l_quantity AS int) % 8 AS string) END AS nights,
+       ELSE cast(quantity % 8 AS string) END AS nights,
   '1' AS rooms,
   CASE WHEN l_orderkey % 103 = 4 THEN 'n/a'
-       WHEN l_extendedprice >= 1000 THEN
-            cast(cast(floor(l_extendedprice / 1000) AS int) AS string) || ',' ||
-            lpad(cast(cast(floor(l_extendedprice) AS int) % 1000 AS string), 3, '0')
-       ELSE cast(cast(floor(l_extendedprice) AS int) AS string) END AS twd_amount
-FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
+       WHEN price >= 1000 THEN
+            cast(cast(floor(price / 1000) AS int) AS string) || ',' || lpad(cast(price % 1000 AS string), 3, '0')
+       ELSE cast(price AS string) END AS twd_amount
+FROM (
+  SELECT *, cast(l_quantity AS int) AS quantity, cast(floor(l_extendedprice) AS int) AS price,
+         cast((l_partkey * 7 + l_linenumber * 31) % 240 - 10 AS int) AS wait
+  FROM {lineitem}
+) AS items
+JOIN (SELECT *, cast(o_orderdate AS date) AS ordered FROM {orders}) AS placed ON l_orderkey = o_orderkey
 JOIN {catalogue} ON cid = l_partkey % 48
 """
 
@@ -147,6 +147,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Spread a scan that has fewer splits than there are cores over all of them.
+
+    Matters for small files only: a scan of many splits is returned as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, *keys) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def raw_bookings(spark: SparkSession, sf_dir: str, since=None, until=None) -> DataFrame:
     """Bookings as text.  ``since``/``until`` (inclusive dates) prune orders at the scan."""
     orders = _table(spark, sf_dir, "orders")
@@ -156,7 +165,7 @@ def raw_bookings(spark: SparkSession, sf_dir: str, since=None, until=None) -> Da
         orders = orders.filter(F.col("o_orderdate") < F.lit(str(until)).cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY"))
     return spark.sql(
         RAW_BOOKINGS,
-        lineitem=_table(spark, sf_dir, "lineitem"),
+        lineitem=spread(_table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber"),
         orders=orders,
         catalogue=spark.sql(catalogue_sql()),
     )
