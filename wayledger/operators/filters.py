@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from datetime import date
 
@@ -79,12 +80,17 @@ def stay_view(bookings: DataFrame, view: str) -> DataFrame:
 
 
 def search(bookings: DataFrame, keyword: str = "", product_lines: Sequence[str] = (), literal: bool = False) -> DataFrame:
-    """Bookings whose id, name or city matches the keyword (a regular expression unless ``literal``)."""
+    """Bookings whose id, name or city matches the keyword (a regular expression unless ``literal``).
+
+    A malformed expression is rejected here, before any task starts.
+    """
     if product_lines:
         bookings = bookings.filter(F.col("product_line").isin(list(product_lines)))
     wanted = keyword.strip().lower()
     if not wanted:
         return bookings
+    if not literal:
+        re.compile(wanted)
     hit = F.lit(False)
     for column in ("order_id", "bnb_name", "bnb_city"):
         text = F.lower(known(F.col(column)))

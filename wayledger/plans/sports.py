@@ -21,23 +21,25 @@ def seb_country_summary(bookings: DataFrame) -> DataFrame:
     return summarize(of_line(bookings, "SEB"), "seb_country").orderBy(F.desc("revenue"), "seb_country")
 
 
-def _grid(bookings: DataFrame) -> DataFrame:
-    """All types by all countries with zeros where nothing sold; the grid is a 20-row literal."""
-    def values(column: str, labels: list[str]) -> DataFrame:
-        return bookings.sparkSession.createDataFrame([(label,) for label in labels], f"{column} string")
+def _sales(bookings: DataFrame) -> DataFrame:
+    """Sales per type and country plus one zero row for every cell of the full grid.
 
-    grid = values("seb_type", rules.SEB_TYPES).crossJoin(values("seb_country", rules.SEB_COUNTRIES))
+    Whoever sums over this sees all cells; no join is needed to complete the grid.
+    """
     sold = summarize(of_line(bookings, "SEB"), "seb_type", "seb_country")
-    return grid.join(sold, ["seb_type", "seb_country"], "left").select(
-        "seb_type", "seb_country",
-        F.coalesce("orders", F.lit(0).cast("bigint")).alias("orders"),
-        F.coalesce("revenue", F.lit(0.0)).alias("revenue"),
+    countries = F.array(*[F.lit(c) for c in rules.SEB_COUNTRIES])
+    zeros = (
+        bookings.sparkSession.range(0, 1, 1, 1)
+        .select(F.explode(F.array(*[F.lit(t) for t in rules.SEB_TYPES])).alias("seb_type"))
+        .select("seb_type", F.explode(countries).alias("seb_country"))
+        .withColumns({"orders": F.lit(0).cast("bigint"), "revenue": F.lit(0.0)})
     )
+    return sold.unionByName(zeros)
 
 
 def seb_cross(bookings: DataFrame) -> DataFrame:
     """Grid cells plus row, column and grand totals; intensity is set for selling cells only."""
-    cube = _grid(bookings).cube("seb_type", "seb_country").agg(
+    cube = _sales(bookings).cube("seb_type", "seb_country").agg(
         F.sum("orders").alias("orders"), F.sum("revenue").alias("revenue"), F.grouping_id().alias("level")
     )
     is_cell = F.col("level") == 0
@@ -71,7 +73,7 @@ def seb_cross_pivot(bookings: DataFrame) -> DataFrame:
 
 def seb_type_order(bookings: DataFrame) -> DataFrame:
     """Types with their place by revenue and by orders (five rows in the windows)."""
-    totals = _grid(bookings).groupBy("seb_type").agg(
+    totals = _sales(bookings).groupBy("seb_type").agg(
         F.sum("revenue").alias("revenue"), F.sum("orders").alias("orders")
     )
 

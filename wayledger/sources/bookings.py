@@ -61,10 +61,12 @@ def read_bookings_csv(spark: SparkSession, path: str, multi_line: bool = True) -
         spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
         .withColumnsRenamed(RENAMES)
     )
-    checked = check_source(table)
-    return checked.select(
-        *[F.when(~F.col(c).isin(MISSING_TEXTS), F.col(c)).alias(c) for c in RAW_COLUMNS]
-    )
+    return text_columns(check_source(table))
+
+
+def text_columns(table: DataFrame) -> DataFrame:
+    """The raw columns, with every spelling of a missing value read as NULL."""
+    return table.select(*[F.when(~F.col(c).isin(MISSING_TEXTS), F.col(c)).alias(c) for c in RAW_COLUMNS])
 
 
 def write_clean(bookings: DataFrame, path: str, mode: str = "overwrite") -> None:
