@@ -56,8 +56,7 @@ def cruise_type(line: Column, name: Column) -> Column:
         [
             (rules.FLY_CRUISE, FOREIGN_EMBARK),
             (rules.HOMEPORT, HOME_DEPARTURE),
-            (rules.FLY_CRUISE, ANY_EMBARK),
-            (rules.FLY_CRUISE, rules.REPOSITIONING),
+            (rules.FLY_CRUISE, f"{ANY_EMBARK}|{rules.REPOSITIONING}"),
             (rules.HOMEPORT, alternation(rules.HOMEPORT_FLEET_NAMES)),
         ],
         F.lit(rules.FLY_CRUISE),
@@ -126,12 +125,9 @@ def seb_country(line: Column, switch: Column, name: Column) -> Column:
         .when(mentions(name, rules.JAPAN_PLACES), "日本")
         .otherwise("其他海外")
     )
-    country = F.coalesce(
-        lookup(market, rules.COUNTRY_SWITCH),
-        F.when(market.isin(rules.COUNTRY_SWITCH_EMPTY), by_name),
-        F.lit("其他海外"),
-    )
-    return F.when(line == "SEB", country).otherwise("")
+    country = F.coalesce(lookup(market, rules.COUNTRY_SWITCH), F.lit("其他海外"))
+    resolved = F.when(country == rules.BY_NAME, by_name).otherwise(country)
+    return F.when(line == "SEB", resolved).otherwise("")
 
 
 # -- tours, channels, places ------------------------------------------------

@@ -90,7 +90,7 @@ _SEB_COUNTRY = f"""CASE WHEN product_line <> 'SEB' THEN ''
   WHEN lower(trim(column_switch_3)) = 'japan' THEN '日本'
   WHEN lower(trim(column_switch_3)) = 'korea' THEN '韓國'
   WHEN lower(trim(column_switch_3)) = 'taiwan' THEN '台灣'
-  WHEN lower(trim(coalesce(column_switch_3, 'nan'))) NOT IN ({quoted(rules.COUNTRY_SWITCH_EMPTY)}) THEN '其他海外'
+  WHEN lower(trim(coalesce(column_switch_3, 'nan'))) NOT IN ('', '-', 'nan', '基本方案') THEN '其他海外'
   WHEN {hit('bnb_name', rules.TAIWAN_PLACES)} THEN '台灣'
   WHEN {hit('bnb_name', rules.KOREA_PLACES, '(?i)')} THEN '韓國'
   WHEN {hit('bnb_name', rules.JAPAN_PLACES)} THEN '日本'

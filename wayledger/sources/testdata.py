@@ -76,8 +76,7 @@ def catalogue_sql() -> str:
 RAW_BOOKINGS = """
 SELECT
   CASE WHEN l_orderkey % 997 = 3 THEN 'bad-date' ELSE cast(ordered AS string) END AS order_date,
-  CASE WHEN (l_orderkey * 7 + l_linenumber) % 211 = 0 THEN '  '
-       WHEN (l_orderkey * 7 + l_linenumber) % 211 = 1 THEN NULL
+  CASE WHEN blank = 0 THEN '  ' WHEN blank = 1 THEN NULL
        ELSE cast(l_orderkey AS string) || '-' || cast(l_linenumber AS string) END AS order_id,
   CASE WHEN l_partkey % 503 = 7 THEN NULL WHEN o_orderstatus = 'F' THEN 'completed'
        WHEN o_orderstatus = 'O' THEN 'confirmed' ELSE 'canceled' END AS booking_status,
@@ -89,14 +88,14 @@ SELECT
   CASE WHEN l_orderkey % 89 = 5 THEN NULL ELSE cast(ordered + wait AS string) END AS check_in,
   cast(ordered + wait + quantity % 8 AS string) AS check_out,
   tags AS tags,
-  CASE l_suppkey % 9 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '-' WHEN 3 THEN '0' WHEN 4 THEN ' '
-       ELSE 'aff_' || cast(l_suppkey % 9 AS string) END AS affiliate_id,
+  CASE WHEN affiliate = 0 THEN NULL WHEN affiliate > 4 THEN 'aff_' || cast(affiliate AS string)
+       WHEN affiliate = 1 THEN '' ELSE substr('-0 ', affiliate - 1, 1) END AS affiliate_id,
   CASE WHEN l_linenumber = 1 THEN 'WELCOME' END AS coupon,
   cs3 AS column_switch_3,
   cast(l_linenumber + quantity % 3 AS string) AS guests,
   cast(l_linenumber AS string) AS adult,
   cast(quantity % 3 AS string) AS child,
-  CASE WHEN l_orderkey % 101 = 9 THEN 'x' WHEN l_orderkey % 101 = 10 THEN '2.7'
+  CASE WHEN odd = 9 THEN 'x' WHEN odd = 10 THEN '2.7'
        ELSE cast(quantity % 8 AS string) END AS nights,
   '1' AS rooms,
   CASE WHEN l_orderkey % 103 = 4 THEN 'n/a'
@@ -105,7 +104,9 @@ SELECT
        ELSE cast(price AS string) END AS twd_amount
 FROM (
   SELECT *, cast(l_quantity AS int) AS quantity, cast(floor(l_extendedprice) AS int) AS price,
-         cast((l_partkey * 7 + l_linenumber * 31) % 240 - 10 AS int) AS wait
+         cast((l_partkey * 7 + l_linenumber * 31) % 240 - 10 AS int) AS wait,
+         cast((l_orderkey * 7 + l_linenumber) % 211 AS int) AS blank, cast(l_suppkey % 9 AS int) AS affiliate,
+         cast(l_orderkey % 101 AS int) AS odd
   FROM {lineitem}
 ) AS items
 JOIN (SELECT *, cast(o_orderdate AS date) AS ordered FROM {orders}) AS placed ON l_orderkey = o_orderkey
