@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from wayledger.operators.clean import clean_bookings
 from wayledger.operators.filters import filter_bookings
 from wayledger.operators.periods import Period, flag_periods
+from wayledger.operators.ranking import product_rank
 from wayledger.plans import cruise, insights, overview
 from wayledger.plans import registry as R
 from wayledger.functions import rules
@@ -62,11 +63,30 @@ def test_period_prunes_month_folders_and_columns(stored):
     assert {c.split(":")[0] for c in columns.split(",")} == {"order_date", "booking_status", "twd_amount", "product_line"}
 
 
+def test_each_side_of_a_ranking_reads_its_own_months(stored):
+    period = Period.before(date(2001, 5, 4), date(2001, 8, 1))
+    text = plan(product_rank(filter_bookings(flag_periods(stored, period)), "growth"))
+    def own_months(filters):
+        return re.findall(r"order_month#\d+ [<>]= (\d{4}-\d{2})", filters)[-2:]
+    found = [own_months(filters) for filters in re.findall(r"PartitionFilters: (.*)", text)]
+    assert found == [["2001-05", "2001-08"], ["2001-02", "2001-05"]]
+
+
 def test_line_report_pushes_the_line_down(stored):
     text = plan(cruise.cruise_type_summary(stored))
     assert "EqualTo(product_line,Cruise)" in text
 
 
+def test_literal_catalogue_is_broadcast_even_without_a_size_threshold(spark, small):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(R.QUERIES["product_line_summary"](spark, small))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert text.count("BroadcastHashJoin Inner") == 1 and text.count("SortMergeJoin Inner") == 1
+
+
 def test_dates_prune_orders_at_the_scan(spark, small):
     text = plan(overview.kpi_overview(R.flagged(spark, small, R.LAST_90)))
     assert "GreaterThanOrEqual(o_orderdate" in text

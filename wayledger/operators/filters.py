@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from wayledger.functions import classify as C
 from wayledger.functions import rules
 from wayledger.functions.text import known
-from wayledger.operators.periods import prune_months, within
+from wayledger.operators.periods import within
 
 ALL_STATUSES = "all"
 
@@ -31,7 +31,7 @@ def filter_bookings(
     one; an empty list or None switches that part off.  ``channels=None`` is off, an empty list
     matches nothing, and the direct label stands for every empty spelling.
     """
-    kept = prune_months(bookings, start, end).filter(within(start, end))
+    kept = bookings.filter(within(bookings, start, end))
     if product_lines:
         kept = kept.filter(F.col("product_line").isin(list(product_lines)))
     if statuses == ALL_STATUSES:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,25 +54,22 @@ class Period:
         return max(self.end, self.prev_end)
 
 
-def within(start: date | None, end: date | None) -> Column:
-    """Order date in [start, end]; the end is midnight of the end day.  NULL dates do not pass."""
-    inside = F.lit(True)
-    if start is not None:
-        inside = inside & (F.col("order_date") >= moment(start))
-    if end is not None:
-        inside = inside & (F.col("order_date") <= moment(end))
-    return inside
-
+def within(bookings: DataFrame, start: date | None, end: date | None) -> Column:
+    """Order date in [start, end]; the end is midnight of the end day.  NULL dates do not pass.
 
-def prune_months(bookings: DataFrame, start: date | None, end: date | None) -> DataFrame:
-    """Skip whole month folders of a stored clean table; other tables pass unchanged."""
-    if MONTH_PARTITION not in bookings.columns:
-        return bookings
+    On a stored clean table the months are bounded too, so that whole month folders are skipped.
+    """
+    bounds = []
+    by_month = MONTH_PARTITION in bookings.columns
     if start is not None:
-        bookings = bookings.filter(F.col(MONTH_PARTITION) >= f"{start:%Y-%m}")
+        bounds.append(F.col("order_date") >= moment(start))
+        if by_month:
+            bounds.append(F.col(MONTH_PARTITION) >= f"{start:%Y-%m}")
     if end is not None:
-        bookings = bookings.filter(F.col(MONTH_PARTITION) <= f"{end:%Y-%m}")
-    return bookings
+        bounds.append(F.col("order_date") <= moment(end))
+        if by_month:
+            bounds.append(F.col(MONTH_PARTITION) <= f"{end:%Y-%m}")
+    return reduce(Column.__and__, bounds, F.lit(True))
 
 
 def flag_periods(bookings: DataFrame, period: Period) -> DataFrame:
@@ -79,13 +77,9 @@ def flag_periods(bookings: DataFrame, period: Period) -> DataFrame:
 
     Reports aggregate conditionally on the flags, so a compare reads its input once.
     """
-    current = within(period.start, period.end)
-    previous = within(period.prev_start, period.prev_end)
-    return (
-        prune_months(bookings, period.first, period.last)
-        .filter(current | previous)
-        .withColumns({"is_cur": current, "is_prev": previous})
-    )
+    current = within(bookings, period.start, period.end)
+    previous = within(bookings, period.prev_start, period.prev_end)
+    return bookings.filter(current | previous).withColumns({"is_cur": current, "is_prev": previous})
 
 
 def date_bounds(bookings: DataFrame) -> DataFrame:

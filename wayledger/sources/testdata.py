@@ -168,7 +168,7 @@ def raw_bookings(spark: SparkSession, sf_dir: str, since=None, until=None) -> Da
         RAW_BOOKINGS,
         lineitem=spread(_table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber"),
         orders=orders,
-        catalogue=spark.sql(catalogue_sql()),
+        catalogue=F.broadcast(spark.sql(catalogue_sql())),  # 48 literal rows at any scale
     )
 
 
