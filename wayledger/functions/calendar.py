@@ -22,9 +22,14 @@ def yearweek_to_sunday(yearweek: Column) -> Column:
     return F.date_add(week_start(january), weeks * 7)
 
 
+def month_text(moment: Column) -> Column:
+    """``yyyy-MM``, taken from the date itself so that the session time zone has no say."""
+    return F.substring(moment.cast("date").cast("string"), 1, 7)
+
+
 def travel_month(moment: Column) -> Column:
-    """``yyyy-MM`` of a travel date; a missing date is the group ``NaT``."""
-    return F.coalesce(F.date_format(moment, "yyyy-MM"), F.lit("NaT"))
+    """Month of a travel date; a missing date is the group ``NaT``."""
+    return F.coalesce(month_text(moment), F.lit("NaT"))
 
 
 def lead_days(ordered: Column, travels: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayledger.functions.calendar import month_text
 from wayledger.operators.periods import MONTH_PARTITION
 
 # Column names of the raw file, of the exported order list, and the texts read as missing.
@@ -75,7 +76,7 @@ def write_clean(bookings: DataFrame, path: str, mode: str = "overwrite") -> None
     The rebalance hint lets adaptive execution split a month that holds most rows and merge thin ones;
     sorting by product line inside each file makes row-group statistics selective for line reports.
     """
-    dated = bookings.withColumn(MONTH_PARTITION, F.date_format("order_date", "yyyy-MM"))
+    dated = bookings.withColumn(MONTH_PARTITION, month_text(F.col("order_date")))
     (
         dated.hint("rebalance", MONTH_PARTITION)
         .sortWithinPartitions(MONTH_PARTITION, "product_line", "order_date")
@@ -97,9 +98,9 @@ def write_order_list(listed: DataFrame, path: str) -> None:
     def shown(column: str):
         if dict(listed.dtypes)[column] != "timestamp_ntz":
             return F.col(column)
-        whole_day = F.col(column) == F.col(column).cast("date").cast("timestamp_ntz")
-        return F.when(whole_day, F.date_format(column, "yyyy-MM-dd")).otherwise(
-            F.date_format(column, "yyyy-MM-dd HH:mm:ss")
+        day = F.col(column).cast("date")
+        return F.when(F.col(column) == day.cast("timestamp_ntz"), day.cast("string")).otherwise(
+            F.col(column).cast("string")
         )
 
     columns = [shown(c).alias(EXPORT_NAMES[c]) for c in EXPORT_NAMES]

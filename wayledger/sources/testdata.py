@@ -136,11 +136,12 @@ FROM ({WEEKS}) AS weeks GROUP BY 1, 2
 UNION ALL SELECT 'yearWeek', 'channel', 'activeUsers'
 """
 
-# Days that sold well above the average stand in for a holiday calendar.
+# Days with clearly more orders than the mean day stand in for a holiday calendar.
 HOLIDAYS = """
 SELECT d, CASE orders % 3 WHEN 0 THEN '節日甲（補假）' WHEN 1 THEN '節日甲' ELSE '節日乙' END AS name
 FROM (SELECT cast(o_orderdate AS date) AS d, count(*) AS orders FROM {orders} GROUP BY 1) AS days
-WHERE orders >= 1.5 * (SELECT count(*) * 1.0 / count(DISTINCT o_orderdate) FROM {orders})
+WHERE orders >= (SELECT m + 1.3 * sqrt(m) FROM
+  (SELECT cast(count(*) AS double) / count(DISTINCT o_orderdate) AS m FROM {orders}) AS mean_day)
 """
 
 

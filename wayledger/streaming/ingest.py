@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from wayledger.functions.calendar import month_text
 from wayledger.operators.clean import clean_bookings
 from wayledger.operators.periods import MONTH_PARTITION
 from wayledger.sources.bookings import RAW_COLUMNS, RENAMES, text_columns
@@ -24,7 +25,7 @@ def raw_booking_stream(spark: SparkSession, path: str, header: list[str]) -> Dat
 
 def ingest(raw: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     """Clean everything that arrived since the last run and append it in month folders, then stop."""
-    clean = clean_bookings(raw).withColumn(MONTH_PARTITION, F.date_format("order_date", "yyyy-MM"))
+    clean = clean_bookings(raw).withColumn(MONTH_PARTITION, month_text(F.col("order_date")))
     return (
         clean.writeStream.format("parquet")
         .option("path", target)
