@@ -365,3 +365,17 @@ def test_running_week_projection(spark):
     lone = traffic.wau_kpi(weeks.filter("wau = 25"), date(2024, 3, 13)).first()
     assert (lone.latest_wau, lone.prev_wau, lone.wau_diff) == (25, 0, None)
     assert traffic.wau_kpi(weeks.limit(0), date(2024, 3, 13)).isEmpty()
+
+
+def test_session_time_zone_has_no_say(spark, clean):
+    """Midnight does not exist on some days of this zone."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+    try:
+        table = clean(*cruise_orders("1995-10-15", 1, check_in="1999-10-03"))
+        text = table.select(F.col("order_date").cast("string")).first()[0]
+        assert text == "1995-10-15 00:00:00"
+        assert rows(cruise.cruise_checkin_distribution(table)) == [("1999-10", rules.HOMEPORT, 1, 100.0)]
+        assert rows(trends.revenue_trend(table, "D")) == [(date(1995, 10, 15), 100.0)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
