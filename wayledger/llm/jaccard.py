@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayledger.llm.arrays import mix64, plain_strings, shingle_sets, text_slices
-from wayledger.llm.tables import connected_components, stored
+from wayledger.llm.tables import connected_components, mapped, stored
 
 NGRAM = 5
 THRESHOLD = 0.8
@@ -87,7 +87,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int, seed: int) -> Dat
                     [batch.column(0).slice(lo, hi - lo), pa.array(node).take(take), lists.take(take)], ["did", "node", "bands"]
                 )
 
-    return docs.mapInArrow(run, "did long, node long, bands array<long>")
+    return mapped(docs, run, "did long, node long, bands array<long>")
 
 
 def node_texts(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
@@ -115,7 +115,7 @@ def node_texts(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
                     ["node", "size", "comp", "blocks", "grams"],
                 )
 
-    return found.mapInArrow(run, "node long, size long, comp long, blocks int, grams binary")
+    return mapped(found, run, "node long, size long, comp long, blocks int, grams binary")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:

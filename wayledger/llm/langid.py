@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayledger.llm.arrays import plain_strings, text_bytes, text_slices
+from wayledger.llm.tables import mapped
 
 SAMPLE = 2000
 MOST_GRAMS = 1 << 20
@@ -144,7 +145,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, seed: int = 3) -> Trees:
                 key, n = np.unique(key, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
 
-    counts = some.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = mapped(some, run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     got = counts.orderBy(F.desc("n"), "key").limit(MOST_GRAMS).toArrow()
     key, n = got.column("key").to_numpy(), got.column("n").to_numpy()
     return build(langs, key >> 32, key & 0xFFFFFFFF, n)
@@ -174,4 +175,4 @@ def predict(docs: DataFrame, trees: Trees) -> DataFrame:
             )
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, lang_pred string, lang_score double")
+    return mapped(docs, run, f"{kinds}, lang_pred string, lang_score double")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wayledger.llm.arrays import mix64, plain_strings, text_slices, word_hashes
-from wayledger.llm.tables import stored
+from wayledger.llm.tables import mapped, stored
 
 BACKOFF = 0.4
 #: Words and bigrams with more than one in so many positions are broadcast: at most so many of either.
@@ -68,7 +68,7 @@ def key_counts(corpus: DataFrame, pick) -> DataFrame:
         if held:
             yield _merged(held)
 
-    return corpus.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return mapped(corpus.select("text"), run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -155,11 +155,11 @@ def stupid_backoff(docs: DataFrame, corpus: DataFrame | None = None, id_column:
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     shape = "pkey long, skey long, rid long, tf int" + ("" if own else ", v long, w long")
-    bases = source.select("rid", "did", "text").mapInArrow(base, "rid long, did long, n_tokens long, part double")
-    rows = source.select("rid", "text").mapInArrow(postings, shape)
+    bases = mapped(source.select("rid", "did", "text"), base, "rid long, did long, n_tokens long, part double")
+    rows = mapped(source.select("rid", "text"), postings, shape)
     count = F.col("tf")
     if not own:
-        given = corpus.select(F.lit(-1).cast("long").alias("rid"), "text").mapInArrow(postings, shape)
+        given = mapped(corpus.select(F.lit(-1).cast("long").alias("rid"), "text"), postings, shape)
         rows, count = rows.unionByName(given), F.when(F.col("rid") == -1, F.col("tf")).otherwise(0)
     first = F.sum(count).over(Window.partitionBy("pkey"))
     pair = F.sum(count).over(Window.partitionBy("pkey", "skey"))

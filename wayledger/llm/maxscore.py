@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wayledger.llm.tables import stored
+from wayledger.llm.tables import ship, stored
 
 #: Rows of a shard and queries of a block: bound the memory of a task.
 SHARD_ROWS = 2048
@@ -124,6 +124,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best inner products of each query row with every other row.
 
     ``vectors`` has id long and w array<long>; ``is_query`` is a condition on id."""
+    ship(vectors.sparkSession)
     rows = stored(
         vectors.where("id is not null and w is not null").groupBy("id").agg(F.min("w").alias("w")),
         "vectors",
@@ -131,9 +132,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     queries = rows.where(is_query)
     n, asked = rows.count(), queries.count()
     shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-asked // QUERY_BLOCK))
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    left = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).withColumn("block", every(blocks).cast("long"))
-    right = queries.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(blocks))).withColumn("shard", every(shards).cast("long"))
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+    left = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).withColumn("block", every(blocks))
+    right = queries.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(blocks))).withColumn("shard", every(shards))
     found = (
         left.groupBy("shard", "block")
         .cogroup(right.groupBy("shard", "block"))

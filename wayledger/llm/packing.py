@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from wayledger.llm.tables import mapped
+
 WINDOW = 4096
 END_ID = 2
 #: Tokens solved at once: bounds the memory of a task.
@@ -195,7 +197,7 @@ def pack(
             yield _batch(out, first)
 
     source = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"))
-    return source.mapInArrow(run, PIECES)
+    return mapped(source, run, PIECES)
 
 
 def _batch(pieces: list[tuple], first: int) -> pa.RecordBatch:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayledger.llm.arrays import mix64, plain_strings, text_bytes, text_slices, word_hashes
+from wayledger.llm.tables import mapped
 
 DIMS = 1 << 18
 #: Labelled rows of each class that the model is fitted on.
@@ -177,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 5)
                 )
 
     # by hash; a repeated id gives a row for each text, of which as many as the bound are used
-    got = texts.mapInArrow(run, "h long, label int, f binary").orderBy("h", "f").limit(2 * sample).collect()
+    got = mapped(texts, run, "h long, label int, f binary").orderBy("h", "f").limit(2 * sample).collect()
     rows = [np.frombuffer(r["f"], np.int32) for r in got]
     return fit_rows(rows, np.array([r["label"] for r in got], int), float(share or 0.0), seed)
 
@@ -196,4 +197,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "quality_score"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, quality_score double")
+    return mapped(docs, run, f"{kinds}, quality_score double")

@@ -182,9 +182,9 @@ WITH words AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{WO
 pairs AS MATERIALIZED (
     SELECT doc_id, unnest(list_prepend('<s>', w[:len(w) - 1])) AS v, unnest(w) AS w FROM words WHERE len(w) > 0),
 firsts AS (SELECT v, count(*) AS n FROM pairs GROUP BY v),
-both AS (SELECT v, w, count(*) AS n FROM pairs GROUP BY v, w),
+bigrams AS (SELECT v, w, count(*) AS n FROM pairs GROUP BY v, w),
 sums AS (
     SELECT doc_id, count(*) AS n_tokens, round(sum(ln(b.n) - ln(f.n)), 4) AS score
-    FROM pairs p JOIN both b ON p.v = b.v AND p.w = b.w JOIN firsts f ON p.v = f.v GROUP BY doc_id)
+    FROM pairs p JOIN bigrams b ON p.v = b.v AND p.w = b.w JOIN firsts f ON p.v = f.v GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_tokens, 0) AS n_tokens, coalesce(score, 0.0) AS score FROM documents d LEFT JOIN sums s ON d.doc_id = s.doc_id""",
 }
