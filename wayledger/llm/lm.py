@@ -1,12 +1,13 @@
 """Stupid-backoff scores of documents under a word-bigram model, computed relationally.
 
-S(w | v) = c(v w) / c(v) if the corpus has the bigram, else 0.4 * c(w) / N (or 0.4 / N for a word the corpus lacks); a document's score
+S(w | v) = c(v w) / c(v) if the corpus has the bigram, else 0.4 * c(w) / N (or 0.4 / N for a word the corpus lacks), c counting every
+occurrence, also at a text's end; a document's score
 is the sum of log S over its words, the first following a start marker that counts as a word v once for each document with words.
 
 Counts of words come from one pass with partial sums.  Words and bigrams that make up more than one in ``HEAVY`` of all positions, of
 which there are at most ``HEAVY``, are counted first and broadcast; their share of a score is taken where the text is read.  All other
 positions become one row for each document and bigram, and are shuffled once, hashed by the first word or, where that is heavy, by the
-bigram: then c(v w) and c(v) are sums over windows of the same partition, and no key has more than one in ``HEAVY`` of all rows.  A
+bigram: then c(v w) and c(v), to which last words of texts add rows of their own, are sums over windows of the same partition, and no key has more than one in ``HEAVY`` of all rows.  A
 last sum by document adds up its logarithms.
 
 Where the corpus is another table than the documents, both go through the same shuffle, the corpus with its counts and the documents
@@ -33,6 +34,8 @@ BACKOFF = 0.4
 #: Words and bigrams with more than one in so many positions are broadcast: at most so many of either.
 HEAVY = 50_000
 START = np.uint64(0x51A27B0C3D4E5F61)
+#: Second key of a text's last word, which starts no bigram; other second keys are 0 or odd.
+LAST = np.int64(2)
 
 
 def bigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,7 +139,7 @@ def stupid_backoff(docs: DataFrame, corpus: DataFrame | None = None, id_column:
             for lo, hi in text_slices(text):
                 v, w, starts = bigrams(text.slice(lo, hi - lo))
                 doc = np.repeat(np.arange(lo, hi), np.diff(starts))
-                pair = bigram_key(v, w)
+                pair, final = bigram_key(v, w), w
                 light = find(tables.value[1], pair) == 0
                 v, w, pair, doc = v[light], w[light], pair[light], doc[light]
                 order = np.lexsort((pair, doc))
@@ -149,7 +152,15 @@ def stupid_backoff(docs: DataFrame, corpus: DataFrame | None = None, id_column:
                 columns = [_signed(np.where(heavy, pair[at], v[at])), _signed(np.where(heavy, np.uint64(0), w[at] | np.uint64(1)))]
                 columns += [pa.array(rid[doc[at]]), pa.array(times.astype(np.int32))]
                 names = ["pkey", "skey", "rid", "tf"]
-                if not own:
+                if own:
+                    # the last word of a text starts no bigram but counts towards c(v)
+                    ends = np.flatnonzero(np.diff(starts) > 0)
+                    last = final[starts[ends + 1] - 1]
+                    plain = find(tables.value[0], last) == 0
+                    ends, last = ends[plain], last[plain]
+                    extra = [_signed(last), pa.array(np.full(len(last), LAST)), pa.array(rid[lo + ends]), pa.array(np.ones(len(last), np.int32))]
+                    columns = [pa.concat_arrays([c, x]) for c, x in zip(columns, extra, strict=True)]
+                else:
                     columns += [_signed(v[at]), _signed(w[at])]
                     names += ["v", "w"]
                 yield pa.RecordBatch.from_arrays(columns, names)
@@ -166,7 +177,7 @@ def stupid_backoff(docs: DataFrame, corpus: DataFrame | None = None, id_column:
     counted = rows.withColumns({"cv": first, "cp": pair})
     log_v = F.when(F.col("skey") == 0, 0.0).otherwise(F.log("cv"))
     if own:
-        gain = F.col("tf") * (F.log("cp") - log_v)
+        gain = F.when(F.col("skey") == int(LAST), 0.0).otherwise(F.col("tf") * (F.log("cp") - log_v))
         sums = counted.groupBy("rid").agg(F.sum(gain).alias("light"))
     else:
         # the heavy first word's count is looked up again, as it counts only where the bigram is in the corpus

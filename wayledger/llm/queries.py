@@ -181,7 +181,7 @@ SELECT doc_id, source, text, replica, n_copies, md5('{MIX_SEED + 1}:' || name ||
 WITH words AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{WORDS}') AS w FROM documents),
 pairs AS MATERIALIZED (
     SELECT doc_id, unnest(list_prepend('<s>', w[:len(w) - 1])) AS v, unnest(w) AS w FROM words WHERE len(w) > 0),
-firsts AS (SELECT v, count(*) AS n FROM pairs GROUP BY v),
+firsts AS (SELECT v, count(*) AS n FROM (SELECT w AS v FROM pairs UNION ALL SELECT v FROM pairs WHERE v = '<s>') GROUP BY v),
 bigrams AS (SELECT v, w, count(*) AS n FROM pairs GROUP BY v, w),
 sums AS (
     SELECT doc_id, count(*) AS n_tokens, round(sum(ln(b.n) - ln(f.n)), 4) AS score
