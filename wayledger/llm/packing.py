@@ -78,7 +78,7 @@ class WordTokenizer:
         except KeyError:
             if len(self.known) > WORD_CACHE:
                 self.known.clear()
-            new = list(set(words) - self.known.keys())
+            new = [w for w in set(words) if w not in self.known]
             for word, got in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
                 self.known[word] = np.array(got.ids, "<u4").tobytes()
             return b"".join(map(self.known.__getitem__, words))
