@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from wayledger.functions import rules
 from wayledger.functions.calendar import yearweek_to_sunday
 from wayledger.operators import filters, periods, trends
+from wayledger.operators.clean import clean_bookings
 from wayledger.operators.measures import compare
 from wayledger.operators.periods import Period, flag_periods
 from wayledger.operators.ranking import product_rank
 from wayledger.plans import channels, cruise, overview, stays, traffic
 from wayledger.plans.orders import order_list, order_totals
-from wayledger.sources.bookings import SourceTableError, read_bookings_csv, write_order_list
+from wayledger.sources.bookings import SourceTableError, read_bookings_csv, read_clean, write_clean, write_order_list
 from wayledger.sources.traffic import read_feed, weekly_channel_users, weekly_users
 from wayledger.streaming.ingest import ingest, raw_booking_stream
 
@@ -379,3 +380,13 @@ def test_session_time_zone_has_no_say(spark, clean):
         assert rows(trends.revenue_trend(table, "D")) == [(date(1995, 10, 15), 100.0)]
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_full_load_and_increment_share_a_table(spark, raw, tmp_path):
+    inbox, target, mark = (str(tmp_path / x) for x in ("inbox", "clean", "mark"))
+    write_clean(clean_bookings(raw(*({"order_id": f"F{i}"} for i in range(5)))), target)
+    (tmp_path / "inbox").mkdir()
+    row = dict.fromkeys(HEADER.split(","), "") | {"order_date": "2024-03-05", "order_id": "S1", "booking_status": "completed"}
+    (tmp_path / "inbox" / "a.csv").write_text(HEADER + "\n" + ",".join(row[c] for c in HEADER.split(",")) + "\n")
+    ingest(raw_booking_stream(spark, inbox, HEADER.split(",")), target, mark).awaitTermination()
+    assert read_clean(spark, target).count() == 6

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayledger.functions import classify as C
-from wayledger.functions import rules
 from wayledger.functions.calendar import travel_month
 from wayledger.functions.text import moment, one_decimal, whole
 from wayledger.operators.measures import change_pct
@@ -87,9 +86,9 @@ def _levels(flagged: DataFrame, as_of: date) -> DataFrame:
     contest = Window.partitionBy("level", F.when(F.col("level") == CITY, F.col("product_line"))).orderBy(
         size.desc(), "subject"
     )
-    return sold.withColumn("place", F.row_number().over(contest)).filter(
-        F.col("place") <= len(rules.PRODUCT_LINES)
-    )
+    # only what the report prints: the top channels, one month, one city of a line; totals need every line and type
+    printed = F.when(F.col("level") == CHANNEL, TOP_CHANNELS).when(F.col("level").isin(MONTH, CITY), 1)
+    return sold.withColumn("place", F.row_number().over(contest)).filter(printed.isNull() | (F.col("place") <= printed))
 
 
 def _entry(section: int, order, subject, line: Column, value=None, pct=None, orders=None, when=None) -> Column:

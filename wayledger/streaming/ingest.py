@@ -7,31 +7,31 @@ which files were read is remembered in the checkpoint folder.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from wayledger.functions.calendar import month_text
 from wayledger.operators.clean import clean_bookings
-from wayledger.operators.periods import MONTH_PARTITION
-from wayledger.sources.bookings import RAW_COLUMNS, RENAMES, text_columns
+from wayledger.sources.bookings import RAW_COLUMNS, RENAMES, text_columns, write_clean
 
 
 def raw_booking_stream(spark: SparkSession, path: str, header: list[str]) -> DataFrame:
-    """Raw bookings from CSV files that share one header, in the order the header gives."""
+    """Raw bookings from CSV files that share one header, in the order the header gives; a file with another header fails."""
     schema = ", ".join(f"`{name}` string" for name in header)
-    table = spark.readStream.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    table = spark.readStream.schema(schema).option("header", True).option("enforceSchema", False).option("multiLine", True).option("escape", '"').csv(path)
     return text_columns(table.withColumnsRenamed(RENAMES).select(*RAW_COLUMNS))
 
 
 def ingest(raw: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Clean everything that arrived since the last run and append it in month folders, then stop."""
-    clean = clean_bookings(raw).withColumn(MONTH_PARTITION, month_text(F.col("order_date")))
+    """Clean everything that arrived since the last run and append it in month folders, then stop.
+
+    Batches go through ``write_clean``, so ``target`` may hold rows of a full load and stays readable by ``read_clean``.  A batch
+    that failed while it was being written is written again by the next run: then its rows can be there twice."""
+
+    def append(batch: DataFrame, _: int) -> None:
+        write_clean(clean_bookings(batch), target, mode="append")
+
     return (
-        clean.writeStream.format("parquet")
-        .option("path", target)
+        raw.writeStream.foreachBatch(append)
         .option("checkpointLocation", checkpoint)
-        .partitionBy(MONTH_PARTITION)
-        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )
