@@ -16,6 +16,7 @@ an empty table gives no pieces; further columns of the input are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 from collections import deque
@@ -56,6 +57,7 @@ class WordTokenizer:
     the library."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks fill the cores already
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -64,7 +66,10 @@ class WordTokenizer:
         letter, number = _class("L"), _class("N")
         self.words = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^\s{letter}{number}]+").findall
         self.other = re.compile("[^" + "".join(re.escape(c) for c in sorted(_SAFE)) + "]").search
-        ends = {i for t, i in self.library.get_vocab().items() if re.fullmatch(r"[^\w\s]*[.!?][^\w\s]*", t.removesuffix("</w>"))}
+        vocabulary = self.library.get_vocab()
+        self.word_end = np.zeros(self.library.get_vocab_size(), bool)
+        self.word_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        ends = {i for t, i in vocabulary.items() if re.fullmatch(r"[^\w\s]*[.!?][^\w\s]*", t.removesuffix("</w>"))}
         self.sentence_end = np.zeros(self.library.get_vocab_size() + 1, bool)
         self.sentence_end[list(ends)] = True
 
@@ -78,9 +83,12 @@ class WordTokenizer:
         except KeyError:
             if len(self.known) > WORD_CACHE:
                 self.known.clear()
-            new = [w for w in set(words) if w not in self.known]
-            for word, got in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(got.ids, "<u4").tobytes()
+            # the words of a text in one call, with spaces between them; the last id of each is a word end
+            new = list(set(words).difference(self.known))
+            ids = np.array(self.library.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+            data, start = ids.tobytes(), 0
+            for word, stop in zip(new, (4 * np.flatnonzero(self.word_end[ids]) + 4).tolist(), strict=True):
+                self.known[word], start = data[start:stop], stop
             return b"".join(map(self.known.__getitem__, words))
 
 
