@@ -36,7 +36,7 @@ END_ID = 2
 STRETCH = 1 << 20
 #: Windows at the end of a stretch that are solved again with the next.
 OPEN = 8
-#: Distinct words whose ids a worker keeps.
+#: Distinct words whose ids a task keeps.
 WORD_CACHE = 400_000
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -203,6 +203,7 @@ def pack(
                 out, held = [], 0
         if out:
             yield _batch(out, first)
+        tool.known.clear()  # the worker stays for other tasks
 
     source = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].cast("string").alias("text"))
     return mapped(source, run, PIECES)
