@@ -390,3 +390,9 @@ def test_full_load_and_increment_share_a_table(spark, raw, tmp_path):
     (tmp_path / "inbox" / "a.csv").write_text(HEADER + "\n" + ",".join(row[c] for c in HEADER.split(",")) + "\n")
     ingest(raw_booking_stream(spark, inbox, HEADER.split(",")), target, mark).awaitTermination()
     assert read_clean(spark, target).count() == 6
+
+
+@pytest.mark.parametrize("part", [{"statuses": "completed"}, {"product_lines": "x"}, {"channels": "x"}])
+def test_filters_reject_plain_strings(part):
+    with pytest.raises(ValueError, match="lists"):
+        filters.filter_bookings(None, **part)

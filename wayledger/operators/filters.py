@@ -29,8 +29,11 @@ def filter_bookings(
 
     ``statuses="all"`` is the default selection of every known status, which drops bookings without
     one; an empty list or None switches that part off.  ``channels=None`` is off, an empty list
-    matches nothing, and the direct label stands for every empty spelling.
+    matches nothing, and the direct label stands for every empty spelling.  Any other plain string
+    in place of a list is an error.
     """
+    if isinstance(product_lines, str) or isinstance(channels, str) or (isinstance(statuses, str) and statuses != ALL_STATUSES):
+        raise ValueError("product_lines, statuses and channels take lists, not a plain string")
     kept = bookings.filter(within(bookings, start, end))
     if product_lines:
         kept = kept.filter(F.col("product_line").isin(list(product_lines)))
