@@ -1,4 +1,8 @@
-"""Stupid-backoff scores of documents under a word-bigram model, computed relationally.
+"""Stupid-backoff scores of documents under word n-gram models, computed relationally.
+
+``held_out_backoff`` scores each document by all others: counts are those of the table without the document's own, so that rare n-grams
+back off.  ``stupid_backoff`` scores by bigrams of a corpus; where that is the documents themselves, each bigram is in the counts and
+nothing backs off.  What follows is about ``stupid_backoff``; the other function has its own notes.
 
 S(w | v) = c(v w) / c(v) if the corpus has the bigram, else 0.4 * c(w) / N (or 0.4 / N for a word the corpus lacks), c counting every
 occurrence, also at a text's end; a document's score
@@ -36,6 +40,7 @@ HEAVY = 50_000
 START = np.uint64(0x51A27B0C3D4E5F61)
 #: Second key of a text's last word, which starts no bigram; other second keys are 0 or odd.
 LAST = np.int64(2)
+_ODD_TEXT = 0x9E3779B97F4A7C15
 
 
 def bigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -191,5 +196,119 @@ def stupid_backoff(docs: DataFrame, corpus: DataFrame | None = None, id_column:
     )
 
 
+def padded_grams(column: pa.Array, order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """For each text with words a place for its start marker, then one for each word: the text's number, the keys of the n-grams of
+    length 1 to ``order`` that end there, with start markers before the first word, and whether the place is the start marker's."""
+    words, starts = word_hashes(column)
+    counts = np.diff(starts)
+    texts = np.flatnonzero(counts)
+    room = counts[texts] + order
+    ends = np.cumsum(room)
+    doc = np.repeat(texts, room)
+    at = np.arange(len(doc)) - np.repeat(ends - room, room)
+    token = np.full(len(doc), START)
+    token[at >= order] = words
+    keep = at >= order - 1
+    grams = [mix64(token)]
+    for size in range(2, order + 1):
+        # of places before the markers' last, which are not kept, the first ones wrap around
+        grams.append(mix64(np.roll(token, size - 1) * np.uint64(0x9DDFEA08EB382D69) + grams[-1] + np.uint64(size)))
+    return doc[keep], [g[keep] for g in grams], at[keep] == order - 1
+
+
+def within_text(doc: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """How often each place's key occurs in its own text."""
+    _, place, times = np.unique(mix64(keys + doc.astype(np.uint64) * np.uint64(_ODD_TEXT)), return_inverse=True, return_counts=True)
+    return times[place]
+
+
+def held_out_backoff(docs: DataFrame, order: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, score) of each row of ``docs`` under the n-grams up to ``order`` of all other rows.
+
+    S(w | context) = c(context w) / c(context) if another row has the n-gram, else 0.4 * S(w | context without its first word); of a
+    single word c(w) / N, and 1 / N for a word that no other row has.  N counts the words of all other rows, at least 1.  Before the
+    first word stand ``order`` - 1 start markers, which as a context count once for each row with words.  Contexts count every
+    occurrence, also at a text's end.  Copies of a row are other rows.
+
+    N-grams that make up more than one in ``HEAVY`` of all positions are counted first, by rising length, and broadcast.  Of the others
+    a row for each document and n-gram is shuffled by n-gram; a window sums them, and those that another document has go back to their
+    documents, which are read again and scored in place.  No key has more than one in ``HEAVY`` of all rows."""
+    source = docs.select(docs[id_column].cast("long").alias("did"), docs[text_column].cast("string").alias("text"))
+    source = stored(source.withColumn("rid", F.monotonically_increasing_id()), "texts")
+
+    def slices(column: pa.Array | pa.ChunkedArray):
+        text = plain_strings(column)
+        for lo, hi in text_slices(text):
+            yield lo, hi, *padded_grams(text.slice(lo, hi - lo), order)
+
+    def counts(heavy, size: int) -> DataFrame:
+        """(key, n) of the n-grams of this length whose two shorter parts are both heavy."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, many = [], 0
+            for batch in batches:
+                for _, _, _, grams, marker in slices(batch.column(0)):
+                    keys = grams[size - 1]
+                    if size > 1:
+                        known = find(heavy.value[size - 2], grams[size - 2]) > 0
+                        keys = keys[known & (marker | np.roll(known, 1))]
+                    held.append(np.unique(keys, return_counts=True))
+                    many += len(held[-1][0])
+                    if many > 1_000_000:
+                        yield _merged(held)
+                        held, many = [], 0
+            if held:
+                yield _merged(held)
+
+        return mapped(source.select("text"), run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+    words = stored(counts(None, 1), "words")
+    start = mix64(np.array([START])).view(np.int64)[0].item()
+    total = words.where(F.col("key") != start).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    tables = [heavy_table(words, total)]
+    for size in range(2, order + 1):
+        tables.append(heavy_table(counts(spark_broadcast(docs, tables), size), total))
+    heavy = spark_broadcast(docs, tables)
+
+    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each document and n-gram that isn't heavy."""
+        for batch in batches:
+            rid = batch.column(0).to_numpy()
+            for lo, _, doc, grams, _ in slices(batch.column(1)):
+                for keys, table in zip(grams, heavy.value, strict=True):
+                    light = find(table, keys) == 0
+                    key, text = keys[light], doc[light]
+                    by = np.lexsort((key, text))
+                    key, text = key[by], text[by]
+                    first = np.ones(len(key), bool)
+                    first[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
+                    at = np.flatnonzero(first)
+                    times = np.diff(np.append(at, len(key))).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([_signed(key[at]), pa.array(rid[lo + text[at]]), pa.array(times)], ["key", "rid", "tf"])
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, doc, grams, marker in slices(batch.column(1)):
+                found = batch.column(2).slice(lo, hi - lo).flatten()
+                keys, first = np.unique(found.field(0).to_numpy(zero_copy_only=False).view(np.uint64), return_index=True)
+                light = keys, found.field(1).to_numpy(zero_copy_only=False)[first]
+                n_tokens = np.bincount(doc[~marker], minlength=hi - lo)
+                rest = [np.maximum(find(light, g), find(h, g)) - within_text(doc, g) for g, h in zip(grams, heavy.value, strict=True)]
+                gain = np.log(np.maximum(rest[0], 1)) - np.log(np.maximum(total - n_tokens[doc], 1)) + (order - 1) * np.log(BACKOFF)
+                for size in range(2, order + 1):
+                    count, context = rest[size - 1], np.roll(rest[size - 2], 1)
+                    longer = np.log(np.maximum(count, 1)) - np.log(np.maximum(context, 1)) + (order - size) * np.log(BACKOFF)
+                    gain = np.where(count > 0, longer, gain)
+                sums = np.bincount(doc[~marker], weights=gain[~marker], minlength=hi - lo)
+                columns = [batch.column(0).slice(lo, hi - lo), pa.array(n_tokens.astype(np.int64)), pa.array(sums.astype(np.float64))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "score"])
+
+    rows = mapped(source.select("rid", "text"), postings, "key long, rid long, tf int")
+    others = rows.withColumn("n", F.sum("tf").over(Window.partitionBy("key"))).where("n > tf")
+    known = others.groupBy("rid").agg(F.collect_list(F.struct("key", "n")).alias("known"))
+    whole = source.join(known, "rid", "left").select("did", "text", "known")
+    return mapped(whole, scores, "doc_id long, n_tokens long, score double")
+
+
 def spark_broadcast(df: DataFrame, value: object):
     return df.sparkSession.sparkContext.broadcast(value)
