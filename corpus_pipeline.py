@@ -18,7 +18,7 @@ from wayledger.llm import jaccard, langid, mixing, packing, quality
 from wayledger.llm.queries import MIX_EXPONENT, table, tokenizer_file
 from wayledger.llm.tables import stored
 
-#: SQL can't express the classifiers and the tokenizer; tests compare with brute force.
+#: SQL can't express the classifiers and the tokenizer; tests/llm/test_pipeline.py compares the rows after every stage with plain Python.
 ORACLE_SQL = None
 
 
