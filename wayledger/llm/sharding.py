@@ -124,10 +124,12 @@ def split(seed: int, level: int, shards: int) -> Column:
 def shuffle_to_shards(docs: DataFrame, shards: int, seed: int = 17, key: list[str] | None = None) -> DataFrame:
     """``docs`` with ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 within the shard).
 
-    ``key`` names the columns whose hash orders rows (default: all that can be hashed); rows equal in them keep their stored order."""
+    ``key`` names the columns whose hash orders rows (default: all that can be hashed), together with the row's place in its
+    stored partition, so that equal rows are spread too."""
     spark = docs.sparkSession
     key = key or [f.name for f in docs.schema if not isinstance(f.dataType, T.MapType)]
-    hashed = F.xxhash64(F.lit(seed), *[F.col(c) for c in key])
+    # the stored place keeps rows equal in all columns from standing side by side
+    hashed = F.xxhash64(F.lit(seed), *[F.col(c) for c in key], F.monotonically_increasing_id())
     local = docs.select("*", F.spark_partition_id().alias("_sh_part"), hashed.alias("_sh_hash")).sortWithinPartitions("_sh_hash")
     number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     rows = stored(local.select("*", number.alias("_sh_at")), "permuted")
