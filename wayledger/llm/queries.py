@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayledger.llm import chat, jaccard, langid, lm, maxscore, mixing, packing, pivots, quality, sharding
+from wayledger.llm import bitpack, chat, jaccard, langid, lm, maxscore, mixing, packing, phrases, pivots, quality, sharding, spelling
+from wayledger.llm.tables import shared_folder
 
 SHARDS = 24
 MIX_EXPONENT, MIX_SEED = 0.5, 29
+TOP_PHRASES, SPOIL = 2000, 97
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +25,10 @@ def fold(of: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % of, F.lit(0))
 
 
-def tokenizer_file() -> str:
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path("word_bpe_49k.json"))
+    return str(public_tokenizers.path(name))
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,11 +107,32 @@ def op10_lm_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.held_out_backoff(table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 4))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of two or three words of each language."""
+    found = phrases.top_phrases(phrases.collocations(table(spark, sf_dir, "documents")), TOP_PHRASES)
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def op12_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document's ids, read back from files of packed ids."""
+    folder = f"{shared_folder(spark)}/ids-{uuid.uuid4().hex}"
+    bitpack.write_ids(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), folder)
+    read = bitpack.read_ids(spark, folder)
+    n_tokens = (F.octet_length("ids") / 4).cast("long")
+    return read.select("doc_id", "start", n_tokens.alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents, one occurrence of 97 (by hash) misspelt beforehand."""
+    words = spelling.word_counts(table(spark, sf_dir, "documents"), spoil=SPOIL)
+    return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_packing, op2_sharding, op3_jaccard_join, op4_maxscore, op5_quality, op6_chat, op7_pivots, op8_langid, op9_mixing, op10_lm,
-        op10_lm_held_out,
+        op10_lm_held_out, op11_phrases, op12_bitpack, op13_spelling,
     )
 }
 
