@@ -138,6 +138,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 WORDS = r"[^\x00-\x2f\x3a-\x40\x5b-\x5e\x60\x7b-\x7f]+"
 
+SMALL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"  # lower case of A to Z only
+
 ORACLE: dict[str, str] = {
     "op3_jaccard_join": rf"""
 WITH RECURSIVE words AS MATERIALIZED (
@@ -217,4 +219,55 @@ sums AS (
     SELECT doc_id, count(*) AS n_tokens, round(sum(ln(b.n) - ln(f.n)), 4) AS score
     FROM pairs p JOIN bigrams b ON p.v = b.v AND p.w = b.w JOIN firsts f ON p.v = f.v GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_tokens, 0) AS n_tokens, coalesce(score, 0.0) AS score FROM documents d LEFT JOIN sums s ON d.doc_id = s.doc_id""",
+    "op11_phrases": rf"""
+WITH parts AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({SMALL.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+pieces AS MATERIALIZED (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM parts),
+sizes AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+grams AS (
+    SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+    FROM pieces, (VALUES (1), (2), (3)) t(k)),
+counts AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 10),
+candidates AS MATERIALIZED (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE k > 1),
+cuts AS (SELECT lang, phrase, a, w, unnest(range(1, len(w))) AS cut FROM candidates),
+scored AS (
+    SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, ((1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+    FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(w[:cut], ' ')
+    JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(w[cut + 1:], ' ')
+    QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, cut) = 1),
+covered AS (
+    SELECT i.lang, i.phrase FROM candidates i JOIN (
+        SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM candidates WHERE len(w) = 3) o
+    ON o.lang = i.lang AND o.phrase = i.phrase WHERE 100 * o.a >= 50 * i.a)
+SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase)::INTEGER AS rank, s.phrase, a, l, r, n, score
+FROM scored s JOIN sizes z ON z.lang = s.lang
+WHERE NOT EXISTS (SELECT 1 FROM covered c WHERE c.lang = s.lang AND c.phrase = s.phrase)
+QUALIFY rank <= {TOP_PHRASES}""",
+    "op13_spelling": rf"""
+WITH RECURSIVE runs AS (
+    SELECT doc_id, {SMALL.format("run")} AS run, count(*) AS n
+    FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents) GROUP BY ALL),
+divisor AS (
+    SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS t),
+octets AS (
+    SELECT run, n, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda c:
+        CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + unicode(c) // 64, 128 + unicode(c) % 64] END))::BIGINT[] AS b
+    FROM runs),
+hashed AS (
+    SELECT run, n, xor(list_reduce(b, lambda c, x: xor(c // 256, t[xor(c, x) % 256 + 1]), 4294967295::BIGINT), 4294967295) AS h FROM octets, divisor),
+spelt AS (SELECT CASE WHEN h % {SPOIL} = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+words AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM spelt WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+gaps AS MATERIALIZED (
+    SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+shorter AS MATERIALIZED (SELECT DISTINCT g.word AS a, w.word AS b, g.n AS an, w.n AS bn FROM gaps g JOIN words w ON g.rest = w.word),
+near AS MATERIALIZED (
+    SELECT x.word AS a, y.word AS b, y.n AS bn FROM gaps x JOIN gaps y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word
+    UNION ALL SELECT a, b, bn FROM shorter UNION ALL SELECT b, a, an FROM shorter),
+best AS (SELECT a, b, bn, count(*) OVER (PARTITION BY a) AS n_near FROM near QUALIFY row_number() OVER (PARTITION BY a ORDER BY bn DESC, b) = 1),
+forms AS MATERIALIZED (
+    SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN bn >= 2 * w.n THEN b END AS form, CASE WHEN bn >= 2 * w.n THEN bn END AS form_n
+    FROM words w LEFT JOIN best ON a = w.word),
+walk AS (SELECT word, word AS root FROM forms UNION ALL SELECT k.word, f.form FROM walk k JOIN forms f ON f.word = k.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, k.root, f.n, f.n_near, f.form_n
+FROM forms f JOIN walk k ON k.word = f.word JOIN forms e ON e.word = k.root AND e.form IS NULL""",
 }

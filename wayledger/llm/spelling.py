@@ -111,8 +111,8 @@ def dealt(words: DataFrame) -> DataFrame:
     length = F.length("word")
 
     def member(longest: Column, longer: bool, suffix: bool) -> Column:
-        half = F.expr("length(word) div 2") if longer else F.expr("(length(word) + 1) div 2")
-        affix = F.expr(f"right(word, {'length(word)' if longer else 'length(word) + 1'} div 2)") if suffix else F.substr("word", F.lit(1), half)
+        half = f"(length(word) + {0 if longer else 1}) div 2"
+        affix = F.expr(f"right(word, {half})" if suffix else f"left(word, {half})")
         return F.struct(longest.alias("longest"), F.lit(suffix).alias("suffix"), affix.alias("affix"), F.lit(longer).alias("longer"))
 
     members = F.array(*[member(length + (0 if longer else 1), longer, suffix) for longer in (True, False) for suffix in (False, True)])
