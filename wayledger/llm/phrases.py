@@ -3,14 +3,15 @@
 The occurrence relation R1 lists every word with its piece and place.  It is kept in chunks of about ``CHUNK_WORDS`` words: a chunk is a
 sorted stretch of R1, one code for each place, with a gap (-1) at every piece end, and a dictionary of its codes.  Then, for each length:
 
-1. group-count: the dictionaries' counts are summed over all chunks; phrases with ``min_count`` occurrences are frequent.  A chunk sends
-   a phrase once, with its count, so a common phrase costs a row a chunk.
-2. semi-join: the dictionary rows of frequent phrases go back to their chunks; all other occurrences become gaps.
+1. group-count: the dictionaries' counts are summed over all chunks; phrases with ``min_count`` occurrences are frequent and get an id.
+   A chunk sends a phrase once, with its count, so a common phrase costs a row a chunk.
+2. semi-join: the ids of frequent phrases go back to the chunks that hold them; all other occurrences become gaps.
 3. merge-join: neighbours of the filtered relation, in the same piece and at adjacent places, join to the occurrences of phrases one
    word longer.  As a chunk is sorted and never splits a piece, this is one pass over two neighbouring columns.  The longer relation is
-   persisted in the shared folder and taken as the next one.
+   persisted in the shared folder and taken as the next one; the one before is removed then.
 
-Each group of words of a language is separate: a dictionary entry is (language, phrase).
+A word's dictionary entry is (language, word), that of a longer phrase the pair of ids of its parts without the last and without the
+first word, so texts are shuffled for words only and each language's phrases are separate.
 
 ``score`` of a phrase is the least floor(1000000 a a / (l r)) over its cuts into two parts, a, l and r being the occurrences of the
 phrase and of the parts, in exact decimals.  A phrase that lies inside a longer frequent one with at least half of its occurrences is
@@ -26,13 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wayledger.llm.tables import mapped, ship, stored
+from wayledger.llm.tables import mapped, removed, settled, ship
 
 #: Places of a chunk of the occurrence relation.
 CHUNK_WORDS = 1 << 22
@@ -41,28 +41,31 @@ MAX_WORDS, MIN_COUNT = 3, 10
 COVERED_PCT = 50
 SCALE = 1_000_000
 
-#: A chunk is one row with its codes and a row for each dictionary entry.
-_ROWS = "chunk long, codes binary, code int, lang string, phrase string, n long"
+#: A chunk is one row with its codes and a row for each dictionary entry: (lang, phrase) of words, (head, tail) of longer phrases.
+_ROWS = "chunk long, codes binary, code int, lang string, phrase string, head long, tail long, n long"
 _SCHEMA = pa.schema(
-    [("chunk", pa.int64()), ("codes", pa.binary()), ("code", pa.int32()), ("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())]
+    [
+        ("chunk", pa.int64()), ("codes", pa.binary()), ("code", pa.int32()), ("lang", pa.string()), ("phrase", pa.string()),
+        ("head", pa.int64()), ("tail", pa.int64()), ("n", pa.int64()),
+    ]
 )
 _ENDS = bytes.maketrans(b",;:!?\n\x0b\x0c\r", b"." * 9)
 #: Dictionary rows in one Arrow batch.
 _BATCH = 1 << 16
 
 
-def _rows(chunk: int, codes: np.ndarray | None, lang: pa.Array, phrase: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _batch(many: int, **columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(many, f.type)) for f in _SCHEMA], schema=_SCHEMA)
+
+
+def _rows(chunk: int, codes: np.ndarray | None, n: np.ndarray, **entries: pa.Array) -> Iterator[pa.RecordBatch]:
     """A chunk as rows of ``_ROWS``; without ``codes`` the dictionary alone."""
     if codes is not None:
-        none = [pa.nulls(1, f.type) for f in _SCHEMA][2:]
-        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([codes.astype("<i4").tobytes()], pa.binary()), *none], schema=_SCHEMA)
+        yield _batch(1, chunk=pa.array([chunk], pa.int64()), codes=pa.array([codes.astype("<i4").tobytes()], pa.binary()))
+    whole = {"code": pa.array(np.arange(len(n), dtype=np.int32)), "n": pa.array(n.astype(np.int64))} | entries
     for start in range(0, len(n), _BATCH):
         many = min(_BATCH, len(n) - start)
-        columns = [
-            pa.array(np.full(many, chunk, np.int64)), pa.nulls(many, pa.binary()), pa.array(np.arange(start, start + many, dtype=np.int32)),
-            lang.slice(start, many), phrase.slice(start, many), pa.array(n[start : start + many].astype(np.int64)),
-        ]
-        yield pa.RecordBatch.from_arrays(columns, schema=_SCHEMA)
+        yield _batch(many, chunk=pa.array(np.full(many, chunk, np.int64)), **{k: v.slice(start, many) for k, v in whole.items()})
 
 
 def _text(values: list[bytes]) -> pa.Array:
@@ -82,7 +85,7 @@ class _Codes(dict):
         return code
 
 
-def occurrences(docs: DataFrame, text_column: str = "text", lang_column: str = "lang") -> DataFrame:
+def occurrences(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """R1 in chunks: words are runs of anything but space and tab within pieces, A to Z made small."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +102,7 @@ def occurrences(docs: DataFrame, text_column: str = "text", lang_column: str = "
             starts = [s for s, _ in spans]
             lang = np.repeat(np.array([name for _, name in spans], object), np.diff([*starts, len(entries)]))
             n = np.bincount(codes[codes >= 0], minlength=len(entries))
-            yield from _rows(first + number, codes, pa.array(lang, pa.string()), _text(entries), n)
+            yield from _rows(first + number, codes, n, lang=pa.array(lang, pa.string()), phrase=_text(entries))
             entries, langs, spans, parts, size, number = [], {}, [], [], 0, number + 1
 
         for batch in batches:
@@ -111,11 +114,11 @@ def occurrences(docs: DataFrame, text_column: str = "text", lang_column: str = "
                     known = langs[lang] = _Codes(entries)
                 if not spans or spans[-1][1] != lang:
                     spans.append((len(entries), lang))
-                for words in _pieces(text.as_py() or ""):
+                for words in _pieces(text.as_py() or "", 4 * chunk_words):
                     codes = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
                     parts.append(codes)
                     size += len(codes)
-                    if size >= CHUNK_WORDS:
+                    if size >= chunk_words:
                         yield from send()
                         known = langs[lang] = _Codes(entries)
                         spans.append((0, lang))
@@ -126,19 +129,20 @@ def occurrences(docs: DataFrame, text_column: str = "text", lang_column: str = "
     return mapped(docs.select(text.alias("text"), lang.alias("lang")), run, _ROWS)
 
 
-def _pieces(text: str) -> Iterator[list[bytes]]:
-    """The words of a text with a full stop after every piece, in slices that end with a piece."""
+def _pieces(text: str, most: int) -> Iterator[list[bytes]]:
+    """The words of a text with a full stop after every piece, in slices of about ``most`` bytes that end with a piece."""
     data = text.encode().lower().translate(_ENDS) + b"."
     start = 0
     while start < len(data):
-        stop = data.find(b".", start + 4 * CHUNK_WORDS) + 1 or len(data)
+        stop = data.find(b".", start + most) + 1 or len(data)
         yield data[start:stop].replace(b".", b" . ").split()
         start = stop
 
 
-def longer(codes: np.ndarray, frequent: pa.Table, chunk: int, last: bool) -> Iterator[pa.RecordBatch]:
-    """Occurrences one word longer, from the codes of a chunk and its frequent entries (code, lang, phrase)."""
-    place = frequent.column("code").to_numpy()
+def longer(codes: np.ndarray, place: np.ndarray, ids: np.ndarray, chunk: int, last: bool) -> Iterator[pa.RecordBatch]:
+    """Occurrences one word longer, from the codes of a chunk and the codes and ids of its frequent entries."""
+    order = np.argsort(place)
+    place, ids = place[order], ids[order]
     most = max(int(place.max(initial=-1)), int(codes.max(initial=-1))) + 1
     new = np.full(most + 1, -1, np.int64)  # the last one is for gaps
     new[place] = np.arange(len(place))
@@ -146,54 +150,61 @@ def longer(codes: np.ndarray, frequent: pa.Table, chunk: int, last: bool) -> Ite
     left, right = codes[:-1], codes[1:]
     both = np.flatnonzero((left >= 0) & (right >= 0))
     pairs, inverse, n = np.unique(left[both] * len(place) + right[both], return_inverse=True, return_counts=True)
-    head, tail = (pa.array(x) for x in np.divmod(pairs, max(len(place), 1)))
-    phrases = frequent.column("phrase").combine_chunks()
-    ends = pa.array([p.rpartition(" ")[2] for p in phrases.to_pylist()], pa.string())
-    phrase = pc.binary_join_element_wise(phrases.take(head), ends.take(tail), " ")
+    head, tail = np.divmod(pairs, max(len(place), 1))
     joined = None
     if not last:
         joined = np.full(max(len(codes) - 1, 0), -1, np.int32)
         joined[both] = inverse
-    yield from _rows(chunk, joined, frequent.column("lang").combine_chunks().take(head), phrase, n)
+    yield from _rows(chunk, joined, n, head=pa.array(ids[head]), tail=pa.array(ids[tail]))
 
 
-def extended(relation: DataFrame, counts: DataFrame, last: bool) -> DataFrame:
-    """The relation of phrases one word longer, from the one before and its frequent phrases (lang, phrase); ``last`` leaves out its codes."""
+def extended(relation: DataFrame, frequent: DataFrame, key: list[str], last: bool) -> DataFrame:
+    """The relation of phrases one word longer, from the one before and its frequent entries (key, id); ``last`` leaves out its codes."""
 
-    def run(key: tuple, left: pa.Table, right: pa.Table) -> Iterator[pa.RecordBatch]:
-        if len(left):
-            codes = np.frombuffer(left.column("codes")[0].as_buffer(), "<i4")
-            yield from longer(codes, right, key[0].as_py(), last)
-
-    def both(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(run(key, left, right), schema=_SCHEMA)
+    def run(of: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left):
+            return _SCHEMA.empty_table()
+        codes = np.frombuffer(left.column("codes")[0].as_buffer(), "<i4")
+        place, ids = (right.column(c).to_numpy() for c in ("code", "id"))
+        return pa.Table.from_batches(longer(codes, place, ids, of[0].as_py(), last), schema=_SCHEMA)
 
     ship(relation.sparkSession)
-    entries = relation.where("phrase is not null").select("chunk", "code", "lang", "phrase")
-    entries = entries.join(counts.select("lang", "phrase"), ["lang", "phrase"], "left_semi").select("chunk", "code", "lang", "phrase")
+    entries = relation.where("code is not null").select("chunk", "code", *key).join(frequent.select(*key, "id"), key).select("chunk", "code", "id")
     places = relation.where("codes is not null").select(F.col("chunk").alias("part"), "codes")
-    return places.groupBy("part").cogroup(entries.groupBy("chunk")).applyInArrow(both, _ROWS)
+    return places.groupBy("part").cogroup(entries.groupBy("chunk")).applyInArrow(run, _ROWS)
 
 
-def frequent_phrases(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, **columns: str) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, **reading) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, k, f) of all phrases of 1 to ``max_words`` words with ``min_count`` occurrences, and (lang, n) of all words."""
-    relation = stored(occurrences(docs, **columns), "occurrences")
-    sizes = stored(relation.where("phrase is not null").groupBy("lang").agg(F.sum("n").alias("n")), "sizes")
-    found = []
+    relation, key = settled(occurrences(docs, **reading), "occurrences"), ["lang", "phrase"]
+    sizes = settled(relation.where("code is not null").groupBy("lang").agg(F.sum("n").alias("n")), "sizes")
+    levels = []
     for k in range(1, max_words + 1):
         if k > 1:
-            relation = stored(extended(relation, found[-1], k == max_words), "occurrences")
-        counts = relation.where("phrase is not null").groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
-        found.append(stored(counts, "frequent").withColumn("k", F.lit(k)))
-    whole = found[0]
-    for level in found[1:]:
-        whole = whole.unionByName(level)
+            before, last = relation, levels[-1]
+            relation = settled(extended(before, last, key, k == max_words), "occurrences")
+            removed(before)
+            key = ["head", "tail"]
+        counts = relation.where("code is not null").groupBy(*key).agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
+        counts = settled(counts.withColumn("id", F.monotonically_increasing_id()), "frequent")
+        if k > 1:
+            # the text of a phrase is its head's and the tail's last word
+            head = levels[-1].select(F.col("id").alias("head"), "lang", F.col("phrase").alias("start"))
+            tail = levels[-1].select(F.col("id").alias("tail"), F.substring_index("phrase", " ", -1).alias("end"))
+            counts = counts.join(head, "head").join(tail, "tail").withColumn("phrase", F.concat_ws(" ", "start", "end"))
+            counts = settled(counts.select("lang", "phrase", "f", "id", "head", "tail"), "frequent")
+        levels.append(counts)
+    removed(relation)
+    whole = None
+    for k, level in enumerate(levels, 1):
+        rows = level.select("lang", "phrase", F.lit(k).alias("k"), "f")
+        whole = rows if whole is None else whole.unionByName(rows)
     return whole, sizes
 
 
-def collocations(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, covered_pct: int = COVERED_PCT, **columns: str) -> DataFrame:
-    """(lang, phrase, k, a, l, r, n, score) of all phrases of 2 words or more that no longer one covers."""
-    counts, sizes = frequent_phrases(docs, max_words, min_count, **columns)
+def collocations(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, covered_pct: int = COVERED_PCT, **reading) -> DataFrame:
+    """(lang, phrase, k, a, l, r, n, score) of all phrases of 2 words or more that no longer one covers; ``reading`` goes to ``occurrences``."""
+    counts, sizes = frequent_phrases(docs, max_words, min_count, **reading)
     words = F.split("phrase", " ", -1)
     candidates = counts.where("k > 1").select("lang", "phrase", "k", F.col("f").alias("a"), words.alias("words"))
 

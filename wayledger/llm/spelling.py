@@ -47,15 +47,15 @@ _SMALL = bytes(_SMALL)
 _OTHER = re.compile(rb"[\xc2\xc4-\xf4][\x80-\xbf]+")
 
 
-def word_slices(text: str) -> Iterator[list[bytes]]:
-    """The words of a text in UTF-8, slice by slice."""
+def word_slices(text: str, most: int = SLICE) -> Iterator[list[bytes]]:
+    """The words of a text in UTF-8, slices of about ``most`` bytes."""
     data = text.encode()
     if not data.isascii():
         data = _OTHER.sub(b" ", data)
     data = data.translate(_SMALL)
     start = 0
     while start < len(data):
-        stop = data.find(b" ", start + SLICE)
+        stop = data.find(b" ", start + most)
         stop = len(data) if stop < 0 else stop
         yield data[start:stop].split()
         start = stop
@@ -68,7 +68,14 @@ def spoiled(word: bytes, place: int) -> bytes:
 
 
 def word_counts(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_length: int = 5, min_count: int = 3, spoil: int = 0
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    min_length: int = 5,
+    min_count: int = 3,
+    spoil: int = 0,
+    slice_bytes: int = SLICE,
+    distinct: int = DISTINCT,
 ) -> DataFrame:
     """(word, n) of all words with ``min_length`` code points and ``min_count`` occurrences.
 
@@ -86,7 +93,7 @@ def word_counts(
         for batch in batches:
             for name, text in zip(batch.column(0), batch.column(1), strict=True):
                 head = zlib.crc32(f"{name.as_py() or ''}:".encode())
-                for words in word_slices(text.as_py() or ""):
+                for words in word_slices(text.as_py() or "", slice_bytes):
                     counts.update(words)
                     if spoil:
                         for word in set(words):
@@ -95,7 +102,7 @@ def word_counts(
                                 n = words.count(word)
                                 counts[word] -= n
                                 counts[spoiled(word, h % len(word.decode()))] += n
-                    if len(counts) > DISTINCT:
+                    if len(counts) > distinct:
                         yield send(counts)
                         counts = Counter()
         if counts:
@@ -140,14 +147,15 @@ def shared(left: np.ndarray, right: np.ndarray, start: int) -> np.ndarray:
     return total
 
 
-def near_pairs(words: np.ndarray, longer: np.ndarray, block: np.ndarray, longest: int, suffix: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of near words in one tile of a group; each pair once."""
+def near_pairs(
+    words: np.ndarray, longer: np.ndarray, block: np.ndarray, longest: int, suffix: bool, first: int, last: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of near words in the tile of blocks ``first`` and ``last`` of a group; each pair once."""
     codes = np.ascontiguousarray(words.astype(f"U{longest}")).view(np.uint32).reshape(len(words), longest)
     codes = codes.astype(np.uint8) if codes.max(initial=0) < 256 else codes
     flush = codes.copy()  # right aligned
     flush[~longer, 1:], flush[~longer, 0] = codes[~longer, :-1], 0
     flush, half = flush[:, ::-1], longest // 2
-    first, last = block.min(), block.max()
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
 
     def compare(a: np.ndarray, b: np.ndarray, triangle: bool) -> None:
@@ -198,10 +206,10 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c.tolist(), k) for c, k in zip(columns, kinds, strict=True)], names)
 
     def tile(rows: pa.Table) -> None:
-        longest, suffix = rows.column("key")[0].as_py().split(" ", 2)[:2]
+        longest, suffix, first, last, _ = rows.column("key")[0].as_py().split(" ", 4)
         words = np.array(rows.column("word").to_pylist())
         n, longer, block = (rows.column(c).to_numpy() for c in ("n", "longer", "block"))
-        x, y = near_pairs(words, longer, block, int(longest), suffix == "true")
+        x, y = near_pairs(words, longer, block, int(longest), suffix == "true", int(first), int(last))
         if len(x):
             at, many, best = _best(words, n, x, y)
             out.append((words[at].astype(object), many, n[best], words[best].astype(object)))

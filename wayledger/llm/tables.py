@@ -54,6 +54,32 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Spark removes the shuffle files of a finished query while this is set.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``stored`` in small space: compressed well, and the shuffle files behind it are removed once it is written."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._settled_at = path
+    return table
+
+
+def removed(table: DataFrame) -> None:
+    """Delete what ``settled`` wrote, once everything made from it is written too; ``table`` cannot be read again."""
+    session = table.sparkSession
+    path = session._jvm.org.apache.hadoop.fs.Path(table._settled_at)
+    path.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def _fingerprint(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
     return row["n"], row["h"]
