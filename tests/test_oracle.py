@@ -1,13 +1,14 @@
-"""Every registered query against its SQL counterpart on the smallest test tables."""
+"""Every registered booking query against its SQL counterpart on the smallest test tables."""
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
 from tests.conftest import SMALL
+from wayledger.plans.oracle import oracle
+from wayledger.plans.registry import QUERIES
 
-QUERIES = entry_points.queries()
-ORACLE = entry_points.oracle_sql()
+ORACLE = oracle()
 
 
 @pytest.fixture(scope="module")
@@ -40,3 +41,4 @@ def test_same_result(spark, duck, small, name):
 
 def test_entry(spark):
     assert entry_points.entry(spark).count() > 0
+    assert set(QUERIES) <= set(entry_points.queries()) and set(ORACLE) <= set(entry_points.oracle_sql())

@@ -106,12 +106,37 @@ def test_lead_window_cut_is_pushed_before_the_shuffle(stored):
     assert text.count("WindowGroupLimit") >= 2
 
 
-def test_cleaning_code_is_small_enough_to_be_compiled(spark, small, tmp_path):
+def test_insights_shuffle_narrow_groups(stored):
+    """The first shuffle carries sums of three narrow groupings, partly summed before it."""
+    text = plan(insights.insights(flag_periods(stored, R.HALVES), R.HALVES, R.AS_OF))
+    tree = text[: text.index("(1) Scan")]
+    lowest = tree.splitlines()
+    at = max(i for i, row in enumerate(lowest) if "Exchange" in row)
+    assert "HashAggregate" in lowest[at + 1] and "Expand" in lowest[at + 2]
+
+
+def method_sizes(table):
+    stages = table._jdf.queryExecution().debug().codegenToSeq()
+    return [stages.apply(n)._3().maxMethodCodeSize() for n in range(stages.size())]
+
+
+@pytest.fixture
+def whole_plans(spark):
+    """Without re-planning at run time, so that every stage's code can be asked for beforehand."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_cleaning_code_is_small_enough_to_be_compiled(spark, small, tmp_path, whole_plans):
     path = str(tmp_path / "raw")
     from wayledger.sources.testdata import raw_bookings
 
     raw_bookings(spark, small).write.parquet(path)
-    table = clean_bookings(spark.read.parquet(path))
-    stages = table._jdf.queryExecution().debug().codegenToSeq()
-    sizes = [stages.apply(n)._3().maxMethodCodeSize() for n in range(stages.size())]
+    sizes = method_sizes(clean_bookings(spark.read.parquet(path)))
     assert sizes and max(sizes) < HUGE_METHOD
+
+
+@pytest.mark.parametrize("name", sorted(R.QUERIES))
+def test_query_code_is_small_enough_to_be_compiled(spark, small, name, whole_plans):
+    assert max(method_sizes(R.QUERIES[name](spark, small)), default=0) < HUGE_METHOD

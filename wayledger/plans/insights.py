@@ -27,18 +27,26 @@ TOP_CHANNELS = 5
 CANCEL_ALERT_PCT = 15
 FEW_ORDERS = 10
 
-# Grouping levels by grouping_id over (line, type, month, city, channel); a set bit means "rolled up".
+# Levels of the report, and the columns that name a row of each; a level is derived from one of three groupings of the bookings.
+TOTAL, LINE, TYPE, MONTH, CITY, CHANNEL = range(6)
+LEVEL_KEYS = {TOTAL: [], LINE: ["product_line"], TYPE: ["cruise_type"], MONTH: ["month"], CITY: ["product_line", "city"], CHANNEL: ["channel"]}
+GROUPINGS = [
+    (["product_line", "cruise_type", "month"], [TOTAL, LINE, TYPE, MONTH]),
+    (["product_line", "city"], [CITY]),
+    (["channel"], [CHANNEL]),
+]
 LEVEL_COLUMNS = ["product_line", "cruise_type", "month", "city", "channel"]
-TOTAL, LINE, TYPE, MONTH, CITY, CHANNEL = 0b11111, 0b01111, 0b10111, 0b11011, 0b01101, 0b11110
 
 
 def _levels(flagged: DataFrame, as_of: date) -> DataFrame:
     """Every aggregate the report needs, from one pass over the bookings.
 
-    Bookings are first grouped by all level columns together, so the six-fold expansion of the grouping
-    sets works on those groups and not on bookings.
-    Ranks are cut at the number of product lines, the longest list any section prints, so at most that
-    many rows per level leave the ranking; Catalyst turns the cut into a per-partition limit first.
+    Bookings are grouped side by side by (line, type, month), (line, city) and channel, three narrow groupings that shrink before
+    their shuffle however many cities and channels there are; the levels are sums over those groups.
+
+    Channels, months and the cities of a line are ranked and cut to what the report prints.  In that contest every row of the other
+    levels is alone, so one constant limit holds for all and Spark applies it before the shuffle.  The places of lines and types, which
+    are all printed, are numbered among the rows that are left.
     """
     line = F.col("product_line")
     facts = flagged.select(
@@ -50,21 +58,13 @@ def _levels(flagged: DataFrame, as_of: date) -> DataFrame:
         "is_cur", "is_prev", "nights", "twd_amount",
         (F.col("is_cur") & F.col("booking_status").eqNullSafe(F.lit("canceled"))).alias("is_canceled"),
     )
-    columns = [F.col(c) for c in LEVEL_COLUMNS]
-    pick = dict(zip(LEVEL_COLUMNS, columns))
-    sets = [
-        [],
-        [pick["product_line"]],
-        [pick["cruise_type"]],
-        [pick["month"]],
-        [pick["product_line"], pick["city"]],
-        [pick["channel"]],
-    ]
 
     def amount(flag: str, column: str) -> Column:
         return F.coalesce(F.sum(F.when(F.col(flag), F.col(column))), F.lit(0))
 
-    finest = facts.groupBy(*columns).agg(
+    columns = {c: F.col(c) for c in LEVEL_COLUMNS}
+    groups = facts.groupingSets([[columns[c] for c in keys] for keys, _ in GROUPINGS], *columns.values()).agg(
+        F.grouping_id().alias("grouping"),
         F.count_if("is_cur").alias("orders"),
         F.count_if("is_prev").alias("prev_orders"),
         amount("is_cur", "twd_amount").alias("revenue"),
@@ -72,23 +72,27 @@ def _levels(flagged: DataFrame, as_of: date) -> DataFrame:
         amount("is_cur", "nights").alias("nights"),
         F.count_if("is_canceled").alias("canceled"),
     )
+    # a bit of grouping_id is set where the column is rolled up, the first column being the highest bit
+    def bits(keys) -> int:
+        return sum(0 if c in keys else 1 << (len(LEVEL_COLUMNS) - 1 - i) for i, c in enumerate(LEVEL_COLUMNS))
+
+    feeds = F.coalesce(*[F.when(F.col("grouping") == bits(keys), F.array(*map(F.lit, levels))) for keys, levels in GROUPINGS])
+    level = F.col("level")
+    kept = {c: F.when(level.isin([x for x, keys in LEVEL_KEYS.items() if c in keys]), F.col(c)) for c in LEVEL_COLUMNS}
     measures = ["orders", "prev_orders", "revenue", "prev_revenue", "nights", "canceled"]
-    table = finest.groupingSets(sets, *columns).agg(
-        F.grouping_id().alias("level"), *[F.sum(m).alias(m) for m in measures]
-    )
-    subject = F.coalesce("channel", "city", "month", "cruise_type", "product_line")
-    named = table.withColumn("subject", F.when(F.col("level").isin(LINE, TYPE, MONTH, CHANNEL), subject)
-                             .when(F.col("level") == CITY, F.col("city")))
-    sold = named.filter(
-        (F.col("level") == TOTAL) | ((F.col("orders") > 0) & F.col("subject").isNotNull())
-    )
-    size = F.when(F.col("level") == MONTH, F.col("orders").cast("double")).otherwise(F.col("revenue"))
-    contest = Window.partitionBy("level", F.when(F.col("level") == CITY, F.col("product_line"))).orderBy(
-        size.desc(), "subject"
+    table = groups.withColumn("level", F.explode(feeds)).withColumns(kept).groupBy("level", *LEVEL_COLUMNS)
+    named = table.agg(*[F.sum(m).alias(m) for m in measures]).withColumn(
+        "subject", F.coalesce(*[F.when(level == x, F.col(keys[-1])) for x, keys in LEVEL_KEYS.items() if keys])
     )
-    # only what the report prints: the top channels, one month, one city of a line; totals need every line and type
-    printed = F.when(F.col("level") == CHANNEL, TOP_CHANNELS).when(F.col("level").isin(MONTH, CITY), 1)
-    return sold.withColumn("place", F.row_number().over(contest)).filter(printed.isNull() | (F.col("place") <= printed))
+    sold = named.filter((level == TOTAL) | ((F.col("orders") > 0) & F.col("subject").isNotNull()))
+
+    size = F.when(level == MONTH, F.col("orders").cast("double")).otherwise(F.col("revenue"))
+    order = [size.desc(), "subject"]
+    alone = F.when(level.isin(LINE, TYPE), F.col("subject")).when(level == CITY, F.col("product_line"))
+    best = sold.withColumn("_at", F.row_number().over(Window.partitionBy("level", alone).orderBy(*order)))
+    best = best.filter(F.col("_at") <= TOP_CHANNELS).filter(~level.isin(MONTH, CITY) | (F.col("_at") == 1))
+    contest = Window.partitionBy("level", F.when(level == CITY, F.col("product_line"))).orderBy(*order)
+    return best.withColumn("place", F.row_number().over(contest)).drop("_at")
 
 
 def _entry(section: int, order, subject, line: Column, value=None, pct=None, orders=None, when=None) -> Column:

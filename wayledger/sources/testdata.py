@@ -73,44 +73,54 @@ def catalogue_sql() -> str:
     return f"SELECT * FROM (VALUES {rows}) AS c(cid, type, cs3, tags, city, name)"
 
 
+# What line items alone determine is spelled out below the join, so neither side of it carries all of the text building.
 RAW_BOOKINGS = """
 SELECT
-  CASE WHEN l_orderkey % 997 = 3 THEN 'bad-date' ELSE cast(ordered AS string) END AS order_date,
-  CASE WHEN blank = 0 THEN '  ' WHEN blank = 1 THEN NULL
-       ELSE cast(l_orderkey AS string) || '-' || cast(l_linenumber AS string) END AS order_id,
-  CASE WHEN l_partkey % 503 = 7 THEN NULL WHEN o_orderstatus = 'F' THEN 'completed'
+  CASE WHEN undated THEN 'bad-date' ELSE cast(ordered AS string) END AS order_date,
+  order_id,
+  CASE WHEN unknown THEN NULL WHEN o_orderstatus = 'F' THEN 'completed'
        WHEN o_orderstatus = 'O' THEN 'confirmed' ELSE 'canceled' END AS booking_status,
-  CASE l_returnflag WHEN 'A' THEN 'web' WHEN 'N' THEN 'ios' ELSE 'android' END AS platform,
+  platform,
   city AS bnb_city,
-  'B' || cast(l_partkey % 480 AS string) AS bnb_id,
+  bnb_id,
   name AS bnb_name,
   type AS bnb_type,
-  CASE WHEN l_orderkey % 89 = 5 THEN NULL ELSE cast(ordered + wait AS string) END AS check_in,
-  cast(ordered + wait + quantity % 8 AS string) AS check_out,
+  CASE WHEN unplanned THEN NULL ELSE cast(ordered + wait AS string) END AS check_in,
+  cast(ordered + wait + stay AS string) AS check_out,
   tags AS tags,
-  CASE WHEN affiliate = 0 THEN NULL WHEN affiliate > 4 THEN 'aff_' || cast(affiliate AS string)
-       WHEN affiliate = 1 THEN '' ELSE substr('-0 ', affiliate - 1, 1) END AS affiliate_id,
-  CASE WHEN l_linenumber = 1 THEN 'WELCOME' END AS coupon,
+  affiliate_id,
+  coupon,
   cs3 AS column_switch_3,
-  cast(l_linenumber + quantity % 3 AS string) AS guests,
-  cast(l_linenumber AS string) AS adult,
-  cast(quantity % 3 AS string) AS child,
-  CASE WHEN odd = 9 THEN 'x' WHEN odd = 10 THEN '2.7'
-       ELSE cast(quantity % 8 AS string) END AS nights,
-  '1' AS rooms,
-  CASE WHEN l_orderkey % 103 = 4 THEN 'n/a'
-       WHEN price >= 1000 THEN
-            cast(cast(floor(price / 1000) AS int) AS string) || ',' || lpad(cast(price % 1000 AS string), 3, '0')
-       ELSE cast(price AS string) END AS twd_amount
+  guests, adult, child, nights, rooms, twd_amount
 FROM (
-  SELECT *, cast(l_quantity AS int) AS quantity, cast(floor(l_extendedprice) AS int) AS price,
-         cast((l_partkey * 7 + l_linenumber * 31) % 240 - 10 AS int) AS wait,
-         cast((l_orderkey * 7 + l_linenumber) % 211 AS int) AS blank, cast(l_suppkey % 9 AS int) AS affiliate,
-         cast(l_orderkey % 101 AS int) AS odd
-  FROM {lineitem}
+  SELECT l_orderkey, cast(l_partkey % 48 AS int) AS product, wait, quantity % 8 AS stay,
+         l_orderkey % 997 = 3 AS undated, l_partkey % 503 = 7 AS unknown, l_orderkey % 89 = 5 AS unplanned,
+         CASE WHEN blank = 0 THEN '  ' WHEN blank = 1 THEN NULL
+              ELSE cast(l_orderkey AS string) || '-' || cast(l_linenumber AS string) END AS order_id,
+         CASE l_returnflag WHEN 'A' THEN 'web' WHEN 'N' THEN 'ios' ELSE 'android' END AS platform,
+         'B' || cast(l_partkey % 480 AS string) AS bnb_id,
+         CASE WHEN affiliate = 0 THEN NULL WHEN affiliate > 4 THEN 'aff_' || cast(affiliate AS string)
+              WHEN affiliate = 1 THEN '' ELSE substr('-0 ', affiliate - 1, 1) END AS affiliate_id,
+         CASE WHEN l_linenumber = 1 THEN 'WELCOME' END AS coupon,
+         cast(l_linenumber + quantity % 3 AS string) AS guests,
+         cast(l_linenumber AS string) AS adult,
+         cast(quantity % 3 AS string) AS child,
+         CASE WHEN odd = 9 THEN 'x' WHEN odd = 10 THEN '2.7' ELSE cast(quantity % 8 AS string) END AS nights,
+         '1' AS rooms,
+         CASE WHEN l_orderkey % 103 = 4 THEN 'n/a'
+              WHEN price >= 1000 THEN
+                   cast(cast(floor(price / 1000) AS int) AS string) || ',' || lpad(cast(price % 1000 AS string), 3, '0')
+              ELSE cast(price AS string) END AS twd_amount
+  FROM (
+    SELECT *, cast(l_quantity AS int) AS quantity, cast(floor(l_extendedprice) AS int) AS price,
+           cast((l_partkey * 7 + l_linenumber * 31) % 240 - 10 AS int) AS wait,
+           cast((l_orderkey * 7 + l_linenumber) % 211 AS int) AS blank, cast(l_suppkey % 9 AS int) AS affiliate,
+           cast(l_orderkey % 101 AS int) AS odd
+    FROM {lineitem}
+  ) AS numbers
 ) AS items
 JOIN (SELECT *, cast(o_orderdate AS date) AS ordered FROM {orders}) AS placed ON l_orderkey = o_orderkey
-JOIN {catalogue} ON cid = l_partkey % 48
+JOIN {catalogue} ON cid = product
 """
 
 WEEKS = """
@@ -150,7 +160,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def raw_bookings(spark: SparkSession, sf_dir: str, since=None, until=None) -> DataFrame:
-    """Bookings as text.  ``since``/``until`` (inclusive dates) prune orders at the scan."""
+    """Bookings as text.  ``since``/``until`` (inclusive dates) prune orders at the scan.
+
+    Orders grow with line items, so the two are joined by a shuffle at every size."""
     orders = _table(spark, sf_dir, "orders")
     if since is not None:
         orders = orders.filter(F.col("o_orderdate") >= F.lit(str(since)).cast("timestamp_ntz"))
@@ -159,7 +171,7 @@ def raw_bookings(spark: SparkSession, sf_dir: str, since=None, until=None) -> Da
     return spark.sql(
         RAW_BOOKINGS,
         lineitem=_table(spark, sf_dir, "lineitem"),
-        orders=orders,
+        orders=orders.hint("merge"),
         catalogue=F.broadcast(spark.sql(catalogue_sql())),  # 48 literal rows at any scale
     )
 
