@@ -1,9 +1,11 @@
 """Edge cases on literal rows."""
 
+import csv
 import re
 from datetime import date
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from wayledger.functions import rules
@@ -15,9 +17,11 @@ from wayledger.operators.periods import Period, flag_periods
 from wayledger.operators.ranking import product_rank
 from wayledger.plans import channels, cruise, overview, stays, traffic
 from wayledger.plans.orders import order_list, order_totals
-from wayledger.sources.bookings import SourceTableError, read_bookings_csv, read_clean, write_clean, write_order_list
+from wayledger.sources.bookings import (
+    STAGING, SourceTableError, compact, finish_swaps, read_bookings_csv, read_clean, replace_month, write_clean, write_order_list,
+)
 from wayledger.sources.traffic import read_feed, weekly_channel_users, weekly_users
-from wayledger.streaming.ingest import ingest, raw_booking_stream
+from wayledger.streaming.ingest import ingest
 
 WEEK = Period.before(date(2024, 3, 4), date(2024, 3, 10))
 NOW, BEFORE = "2024-03-05", "2024-02-28"
@@ -90,7 +94,7 @@ def write(path, text):
 
 
 def test_csv_binds_by_name(spark, tmp_path):
-    row = read_bookings_csv(spark, write(tmp_path / "b.csv", f"{HEADER}\n{LINE}\n")).first()
+    row = read_bookings_csv(spark, write(tmp_path / "b.csv", f"{HEADER}\n{LINE}\n"), "keep").first()
     assert (row.twd_amount, row.order_id, row.booking_status) == ("2,100", "A1", "completed")
     assert (row.bnb_city, row.tags, row.affiliate_id, row.coupon) == (None, None, None, "-")
     assert row.bnb_name == '二行\n名稱 "引號"'
@@ -105,6 +109,59 @@ def test_unusable_sources(spark, tmp_path, text):
         read_bookings_csv(spark, write(tmp_path / "b.csv", text))
 
 
+ONE_LINE = LINE.replace("\n", "")
+
+
+def test_files_bind_their_own_headers(spark, tmp_path):
+    """Other column order, a further column, a byte-order mark, an empty file; further columns and unnamed ones do not matter."""
+    names = HEADER.split(",")
+    values = dict(zip(names, next(csv.reader([ONE_LINE])), strict=True))
+    turned = ["comment", *reversed(names), "", "comment"]
+    (tmp_path / "in").mkdir()
+    write(tmp_path / "in" / "1.csv", f"{HEADER}\n{ONE_LINE}\n{ONE_LINE}\n")
+    with open(tmp_path / "in" / "2.csv", "w", encoding="utf-8-sig", newline="") as out:
+        rows = csv.writer(out)
+        rows.writerows([turned, ["x, y", *(values[n] for n in reversed(names)), "z", "w"]])
+    write(tmp_path / "in" / "3.csv", "")
+    found = read_bookings_csv(spark, str(tmp_path / "in")).collect()
+    assert len(found) == 3 and len(set(found)) == 1
+    assert (found[0].twd_amount, found[0].bnb_name, found[0].rooms) == ("2,100", '二行名稱 "引號"', "1")
+    write(tmp_path / "in" / "4.csv", "order_date\n2024-01-01\n")
+    with pytest.raises(SourceTableError, match="4.csv"):
+        read_bookings_csv(spark, str(tmp_path / "in"))
+
+
+def test_one_file_is_read_by_many_tasks(spark, tmp_path):
+    lines = [ONE_LINE.replace("A1", f"A{i}") for i in range(3000)]
+    path = write(tmp_path / "b.csv", "\n".join([HEADER, *lines]) + "\n")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        table, whole = read_bookings_csv(spark, path), read_bookings_csv(spark, path, "keep")
+        assert table.rdd.getNumPartitions() > 5 and whole.rdd.getNumPartitions() == 1
+        assert table.select("order_id").distinct().count() == table.count() == 3000
+        assert table.exceptAll(whole).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_broken_lines_are_refused_or_counted(spark, tmp_path):
+    short = ",".join(ONE_LINE.split(",")[:12])
+    path = write(tmp_path / "b.csv", "\n".join([HEADER, ONE_LINE, LINE, short, ONE_LINE]) + "\n")
+    for action in (lambda t: t.count(), lambda t: t.select("order_id").collect()):
+        with pytest.raises(Exception, match="broken over several lines"):
+            action(read_bookings_csv(spark, path))
+    seen = Observation()
+    assert read_bookings_csv(spark, path, "count", seen).count() == 2
+    assert (seen.get["broken_lines"], seen.get["ragged_lines"]) == (2, 1)
+    kept = read_bookings_csv(spark, path, "keep").collect()
+    assert len(kept) == 4 and [r.rooms for r in kept] == ["1", "1", None, "1"]
+    with pytest.raises(ValueError, match="observation"):
+        read_bookings_csv(spark, path, "count")
+    with pytest.raises(SourceTableError, match="line break"):
+        read_bookings_csv(spark, write(tmp_path / "h.csv", 'order_date,"a\nb"\n1,2\n'))
+
+
 def test_missing_feeds_are_empty(spark, tmp_path):
     nowhere = str(tmp_path / "nowhere.csv")
     assert weekly_users(read_feed(spark, nowhere, 2)).columns == ["yearweek", "week_start", "wau"]
@@ -148,18 +205,89 @@ def test_order_list_export(spark, clean, tmp_path):
     assert shown["C"]["下單日期"] is None and shown["C"]["商品名稱"] == '逗號, "引號"'
 
 
-def test_stream_ingests_each_file_once(spark, tmp_path):
-    inbox, target, mark = (str(tmp_path / n) for n in ("in", "clean", "mark"))
+def inbox(tmp_path):
     (tmp_path / "in").mkdir()
-    write(tmp_path / "in" / "1.csv", f"{HEADER}\n{LINE}\n")
-    ingest(raw_booking_stream(spark, inbox, HEADER.split(",")), target, mark).awaitTermination()
-    assert spark.read.parquet(target).count() == 1
-    write(tmp_path / "in" / "2.csv", f"{HEADER}\n{LINE.replace('A1', 'A2')}\n")
-    ingest(raw_booking_stream(spark, inbox, HEADER.split(",")), target, mark).awaitTermination()
-    found = spark.read.parquet(target).orderBy("order_id").collect()
+    return [str(tmp_path / n) for n in ("in", "clean", "mark")]
+
+
+def test_stream_ingests_each_file_once(spark, tmp_path):
+    source, target, mark = inbox(tmp_path)
+    write(tmp_path / "in" / "1.csv", f"{HEADER}\n{ONE_LINE}\n")
+    ingest(spark, source, target, mark).awaitTermination()
+    assert read_clean(spark, target).count() == 1
+    names = HEADER.split(",")
+    values = dict(zip(names, next(csv.reader([ONE_LINE.replace("A1", "A2")])), strict=True))
+    with open(tmp_path / "in" / "2.csv", "w", newline="") as out:  # another column order
+        csv.writer(out).writerows([names[::-1], [values[n] for n in names[::-1]]])
+    write(tmp_path / "in" / "3.csv", f"{HEADER}\n")
+    ingest(spark, source, target, mark).awaitTermination()
+    ingest(spark, source, target, mark).awaitTermination()
+    found = read_clean(spark, target).orderBy("order_id").collect()
     assert [(r.order_id, r.twd_amount, r.nights, r.product_line) for r in found] == [("A1", 2100.0, 2, "TW"), ("A2", 2100.0, 2, "TW")]
 
 
+def test_repeated_batch_counts_once(spark, tmp_path):
+    """A batch whose end was not noted down runs again; so does one that left half of its files."""
+    source, target, mark = inbox(tmp_path)
+    write(tmp_path / "in" / "1.csv", f"{HEADER}\n{ONE_LINE}\n")
+    ingest(spark, source, target, mark).awaitTermination()
+    write(tmp_path / "in" / "2.csv", "\n".join([HEADER, *(ONE_LINE.replace("A1", f"B{i}") for i in range(7))]) + "\n")
+    ingest(spark, source, target, mark).awaitTermination()
+    last = max((tmp_path / "mark" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    last.unlink()
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    half = next(p for p in (tmp_path / "clean").rglob("*.parquet") if p.parent.name.endswith("1"))
+    (half.parent / "part-half.parquet").write_bytes(half.read_bytes())
+    assert read_clean(spark, target).count() > 8
+    ingest(spark, source, target, mark).awaitTermination()
+    assert read_clean(spark, target).count() == 8
+    fresh = str(tmp_path / "other-mark")  # another stream's first batch does not replace this stream's
+    write(tmp_path / "in" / "3.csv", f"{HEADER}\n{ONE_LINE}\n")
+    ingest(spark, source, target, fresh).awaitTermination()
+    assert read_clean(spark, target).count() == 8 + 9
+
+
+def stored_files(tmp_path, month):
+    return sorted(p.name for p in (tmp_path / "clean" / f"order_month={month}").rglob("*.parquet"))
+
+
+def test_one_month_is_replaced_alone(spark, raw, tmp_path):
+    target = str(tmp_path / "clean")
+    write_clean(clean_bookings(raw(*({"order_id": f"F{m}{i}", "order_date": f"2024-0{m}-05"} for m in (1, 2, 3) for i in range(4)))), target)
+    write_clean(clean_bookings(raw({"order_id": "S", "order_date": "2024-02-06"})), target, "stream-0000000001")
+    before = {m: stored_files(tmp_path, f"2024-0{m}") for m in (1, 3)}
+    again = clean_bookings(raw({"order_id": "N", "order_date": "2024-02-07"}))
+    replace_month(again, target, "2024-02")
+    assert {m: stored_files(tmp_path, f"2024-0{m}") for m in (1, 3)} == before
+    table = read_clean(spark, target)
+    assert [r.order_id for r in table.filter("order_month = '2024-02'").collect()] == ["N"] and table.count() == 9
+    with pytest.raises(Exception, match="outside 2024-03"):
+        replace_month(again, target, "2024-03")
+    assert read_clean(spark, target).count() == 9
+    # a swap that stopped after the old month was deleted is finished by the next one, half a staged month is dropped
+    staged = tmp_path / "clean" / STAGING
+    staged.mkdir()
+    (tmp_path / "clean" / "order_month=2024-01").rename(staged / "order_month=2024-01")
+    (staged / "order_month=2024-01" / "_SUCCESS").touch()
+    (staged / "order_month=2024-03").mkdir()
+    finish_swaps(spark, target)
+    assert read_clean(spark, target).count() == 9 and not staged.exists()
+
+
+def test_increments_are_compacted(spark, raw, tmp_path):
+    target = str(tmp_path / "clean")
+    write_clean(clean_bookings(raw({"order_id": "F"}, {"order_id": "G", "order_date": "x"})), target)
+    for n in range(6):
+        write_clean(clean_bookings(raw({"order_id": f"S{n}"}, {"order_id": f"T{n}", "order_date": None})), target, f"a-b-{n:010d}")
+    ids = sorted(r.order_id for r in read_clean(spark, target).collect())
+    assert compact(spark, target, most_files=4) == ["2024-03", "__HIVE_DEFAULT_PARTITION__"]
+    assert sorted(r.order_id for r in read_clean(spark, target).collect()) == ids and len(ids) == 14
+    assert len(stored_files(tmp_path, "2024-03")) == 2  # the newest batch stays apart and can still be repeated
+    write_clean(clean_bookings(raw({"order_id": "S5"}, {"order_id": "T5", "order_date": None})), target, "a-b-0000000005")
+    assert sorted(r.order_id for r in read_clean(spark, target).collect()) == ids
+    assert compact(spark, target, most_files=4) == []
+
+
 # -- filters and periods ----------------------------------------------------
 
 def test_end_is_midnight_and_null_dates_fail(clean):
@@ -383,12 +511,11 @@ def test_session_time_zone_has_no_say(spark, clean):
 
 
 def test_full_load_and_increment_share_a_table(spark, raw, tmp_path):
-    inbox, target, mark = (str(tmp_path / x) for x in ("inbox", "clean", "mark"))
+    source, target, mark = inbox(tmp_path)
     write_clean(clean_bookings(raw(*({"order_id": f"F{i}"} for i in range(5)))), target)
-    (tmp_path / "inbox").mkdir()
     row = dict.fromkeys(HEADER.split(","), "") | {"order_date": "2024-03-05", "order_id": "S1", "booking_status": "completed"}
-    (tmp_path / "inbox" / "a.csv").write_text(HEADER + "\n" + ",".join(row[c] for c in HEADER.split(",")) + "\n")
-    ingest(raw_booking_stream(spark, inbox, HEADER.split(",")), target, mark).awaitTermination()
+    (tmp_path / "in" / "a.csv").write_text(HEADER + "\n" + ",".join(row[c] for c in HEADER.split(",")) + "\n")
+    ingest(spark, source, target, mark).awaitTermination()
     assert read_clean(spark, target).count() == 6
 
 

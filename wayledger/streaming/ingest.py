@@ -1,36 +1,61 @@
-"""Incremental cleaning: new raw booking files are picked up and appended to the clean table.
+"""Incremental cleaning: new raw booking files are picked up, cleaned and added to the clean table, each exactly once.
 
-This replaces a periodic full reload.  Cleaning keeps no state, so the batch transform is used as is;
-which files were read is remembered in the checkpoint folder.
+This replaces a periodic full reload.  The stream carries file names only; each batch reads its files as the batch reader does, split
+into many tasks and bound by each file's own header.  Which files a batch holds is fixed in the checkpoint folder before it runs, and a
+batch is stored in folders of its own that a repeated attempt replaces, so a batch that failed half-way counts once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from wayledger.operators.clean import clean_bookings
-from wayledger.sources.bookings import RAW_COLUMNS, RENAMES, text_columns, write_clean
+from wayledger.sources.bookings import SourceTableError, read_bookings_csv, write_clean
+
+#: Files of one batch; their names pass through the driver, as any listing of files does.
+BATCH_FILES = 1000
+
+
+def new_files(spark: SparkSession, path: str, files: int = BATCH_FILES) -> DataFrame:
+    """A stream of the names of files that arrive in a folder; their content is not read."""
+    listing = "path string, modificationTime timestamp, length long, content binary"  # what this format always has
+    return spark.readStream.format("binaryFile").schema(listing).option("maxFilesPerTrigger", files).load(path).select("path")
 
 
-def raw_booking_stream(spark: SparkSession, path: str, header: list[str]) -> DataFrame:
-    """Raw bookings from CSV files that share one header, in the order the header gives; a file with another header fails."""
-    schema = ", ".join(f"`{name}` string" for name in header)
-    table = spark.readStream.schema(schema).option("header", True).option("enforceSchema", False).option("multiLine", True).option("escape", '"').csv(path)
-    return text_columns(table.withColumnsRenamed(RENAMES).select(*RAW_COLUMNS))
+def batch_name(spark: SparkSession, batch: int) -> str:
+    """Name of a batch that no other stream gives, the same at every attempt."""
+    stream = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "stream"
+    return f"{stream}-{batch:010d}"
 
 
-def ingest(raw: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Clean everything that arrived since the last run and append it in month folders, then stop.
+def ingest(
+    spark: SparkSession,
+    source: str,
+    target: str,
+    checkpoint: str,
+    line_breaks: str = "refuse",
+    clean: Callable[[DataFrame], DataFrame] = clean_bookings,
+) -> StreamingQuery:
+    """Clean everything that arrived in ``source`` since the last run and store it in ``target``, then stop.
 
-    Batches go through ``write_clean``, so ``target`` may hold rows of a full load and stays readable by ``read_clean``.  A batch
-    that failed while it was being written is written again by the next run: then its rows can be there twice."""
+    ``target`` may hold a full load and stays readable by ``read_clean``.  A batch of files without a single row stores nothing."""
 
-    def append(batch: DataFrame, _: int) -> None:
-        write_clean(clean_bookings(batch), target, mode="append")
+    def store(batch: DataFrame, number: int) -> None:
+        names = [row.path for row in batch.collect()]
+        try:
+            raw = read_bookings_csv(batch.sparkSession, names, line_breaks)
+        except SourceTableError as error:
+            if "has no rows" not in str(error):
+                raise
+            return
+        write_clean(clean(raw), target, batch_name(batch.sparkSession, number))
 
     return (
-        raw.writeStream.foreachBatch(append)
+        new_files(spark, source)
+        .writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
