@@ -3,15 +3,16 @@
 The occurrence relation R1 lists every word with its piece and place.  It is kept in chunks of about ``CHUNK_WORDS`` words: a chunk is a
 sorted stretch of R1, one code for each place, with a gap (-1) at every piece end, and a dictionary of its codes.  Then, for each length:
 
-1. group-count: the dictionaries' counts are summed over all chunks; phrases with ``min_count`` occurrences are frequent and get an id.
-   A chunk sends a phrase once, with its count, so a common phrase costs a row a chunk.
-2. semi-join: the ids of frequent phrases go back to the chunks that hold them; all other occurrences become gaps.
+1. group-count: the dictionaries' counts are summed over all chunks; phrases with ``min_count`` occurrences are frequent.  A chunk sends
+   a phrase once, with its count, so a common phrase costs a row a chunk.
+2. semi-join: the entries of frequent phrases go back to the chunks that hold them; all other occurrences become gaps.  Count and
+   semi-join are one window over the entries of a phrase, so they are shuffled once for both.
 3. merge-join: neighbours of the filtered relation, in the same piece and at adjacent places, join to the occurrences of phrases one
    word longer.  As a chunk is sorted and never splits a piece, this is one pass over two neighbouring columns.  The longer relation is
    persisted in the shared folder and taken as the next one; the one before is removed then.
 
-A word's dictionary entry is (language, word), that of a longer phrase the pair of ids of its parts without the last and without the
-first word, so texts are shuffled for words only and each language's phrases are separate.
+A word's dictionary entry is (language, word), that of a longer phrase the ids of its words.  A word id is one language's, so texts are
+shuffled for words only and each language's phrases are separate.
 
 ``score`` of a phrase is the least floor(1000000 a a / (l r)) over its cuts into two parts, a, l and r being the occurrences of the
 phrase and of the parts, in exact decimals.  A phrase that lies inside a longer frequent one with at least half of its occurrences is
@@ -40,32 +41,47 @@ MAX_WORDS, MIN_COUNT = 3, 10
 #: A shorter phrase goes if a longer one has this share of its occurrences, in hundredths.
 COVERED_PCT = 50
 SCALE = 1_000_000
+#: Parts of a language that are ranked by themselves first.
+PARTS = 8
+
+#: A chunk is one row with its codes and a row for each dictionary entry.
+_CHUNK, _ENTRY = "chunk long, codes binary, code int, ", ", n long"
+_WORDS = f"{_CHUNK}lang string, word string{_ENTRY}"
+
+
+def _ids(k: int) -> list[str]:
+    """The columns with the word ids of a phrase of k words."""
+    return [f"w{i}" for i in range(1, k + 1)]
+
+
+def _phrases(k: int) -> str:
+    return _CHUNK + ", ".join(f"{w} long" for w in _ids(k)) + _ENTRY
+
 
-#: A chunk is one row with its codes and a row for each dictionary entry: (lang, phrase) of words, (head, tail) of longer phrases.
-_ROWS = "chunk long, codes binary, code int, lang string, phrase string, head long, tail long, n long"
-_SCHEMA = pa.schema(
-    [
-        ("chunk", pa.int64()), ("codes", pa.binary()), ("code", pa.int32()), ("lang", pa.string()), ("phrase", pa.string()),
-        ("head", pa.int64()), ("tail", pa.int64()), ("n", pa.int64()),
-    ]
-)
 _ENDS = bytes.maketrans(b",;:!?\n\x0b\x0c\r", b"." * 9)
 #: Dictionary rows in one Arrow batch.
 _BATCH = 1 << 16
 
 
-def _batch(many: int, **columns: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(many, f.type)) for f in _SCHEMA], schema=_SCHEMA)
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
 
 
-def _rows(chunk: int, codes: np.ndarray | None, n: np.ndarray, **entries: pa.Array) -> Iterator[pa.RecordBatch]:
-    """A chunk as rows of ``_ROWS``; without ``codes`` the dictionary alone."""
+def _arrow(schema: str) -> pa.Schema:
+    return pa.schema([(name, _KINDS[kind]) for name, kind in (c.split() for c in schema.split(", "))])
+
+
+def _rows(schema: pa.Schema, chunk: int, codes: np.ndarray | None, n: np.ndarray, **entries: pa.Array) -> Iterator[pa.RecordBatch]:
+    """A chunk as rows of its schema; without ``codes`` the dictionary alone."""
+
+    def batch(many: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(many, f.type)) for f in schema], schema=schema)
+
     if codes is not None:
-        yield _batch(1, chunk=pa.array([chunk], pa.int64()), codes=pa.array([codes.astype("<i4").tobytes()], pa.binary()))
+        yield batch(1, chunk=pa.array([chunk], pa.int64()), codes=pa.array([codes.astype("<i4").tobytes()], pa.binary()))
     whole = {"code": pa.array(np.arange(len(n), dtype=np.int32)), "n": pa.array(n.astype(np.int64))} | entries
     for start in range(0, len(n), _BATCH):
         many = min(_BATCH, len(n) - start)
-        yield _batch(many, chunk=pa.array(np.full(many, chunk, np.int64)), **{k: v.slice(start, many) for k, v in whole.items()})
+        yield batch(many, chunk=pa.array(np.full(many, chunk, np.int64)), **{k: v.slice(start, many) for k, v in whole.items()})
 
 
 def _text(values: list[bytes]) -> pa.Array:
@@ -88,6 +104,8 @@ class _Codes(dict):
 def occurrences(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """R1 in chunks: words are runs of anything but space and tab within pieces, A to Z made small."""
 
+    schema = _arrow(_WORDS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries: list[bytes] = []
         langs: dict[str, _Codes] = {}
@@ -102,7 +120,7 @@ def occurrences(docs: DataFrame, text_column: str = "text", lang_column: str = "
             starts = [s for s, _ in spans]
             lang = np.repeat(np.array([name for _, name in spans], object), np.diff([*starts, len(entries)]))
             n = np.bincount(codes[codes >= 0], minlength=len(entries))
-            yield from _rows(first + number, codes, n, lang=pa.array(lang, pa.string()), phrase=_text(entries))
+            yield from _rows(schema, first + number, codes, n, lang=pa.array(lang, pa.string()), word=_text(entries))
             entries, langs, spans, parts, size, number = [], {}, [], [], 0, number + 1
 
         for batch in batches:
@@ -126,7 +144,7 @@ def occurrences(docs: DataFrame, text_column: str = "text", lang_column: str = "
             yield from send()
 
     text, lang = docs[text_column].cast("string"), docs[lang_column].cast("string")
-    return mapped(docs.select(text.alias("text"), lang.alias("lang")), run, _ROWS)
+    return mapped(docs.select(text.alias("text"), lang.alias("lang")), run, _WORDS)
 
 
 def _pieces(text: str, most: int) -> Iterator[list[bytes]]:
@@ -139,10 +157,10 @@ def _pieces(text: str, most: int) -> Iterator[list[bytes]]:
         start = stop
 
 
-def longer(codes: np.ndarray, place: np.ndarray, ids: np.ndarray, chunk: int, last: bool) -> Iterator[pa.RecordBatch]:
-    """Occurrences one word longer, from the codes of a chunk and the codes and ids of its frequent entries."""
+def longer(codes: np.ndarray, place: np.ndarray, ids: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Occurrences one word longer, from the codes of a chunk and the codes and word ids of its frequent entries: codes, ids, counts."""
     order = np.argsort(place)
-    place, ids = place[order], ids[order]
+    place, ids = place[order], [w[order] for w in ids]
     most = max(int(place.max(initial=-1)), int(codes.max(initial=-1))) + 1
     new = np.full(most + 1, -1, np.int64)  # the last one is for gaps
     new[place] = np.arange(len(place))
@@ -151,54 +169,52 @@ def longer(codes: np.ndarray, place: np.ndarray, ids: np.ndarray, chunk: int, la
     both = np.flatnonzero((left >= 0) & (right >= 0))
     pairs, inverse, n = np.unique(left[both] * len(place) + right[both], return_inverse=True, return_counts=True)
     head, tail = np.divmod(pairs, max(len(place), 1))
-    joined = None
-    if not last:
-        joined = np.full(max(len(codes) - 1, 0), -1, np.int32)
-        joined[both] = inverse
-    yield from _rows(chunk, joined, n, head=pa.array(ids[head]), tail=pa.array(ids[tail]))
+    joined = np.full(max(len(codes) - 1, 0), -1, np.int32)
+    joined[both] = inverse
+    return joined, [*(w[head] for w in ids), ids[-1][tail]], n
 
 
-def extended(relation: DataFrame, frequent: DataFrame, key: list[str], last: bool) -> DataFrame:
-    """The relation of phrases one word longer, from the one before and its frequent entries (key, id); ``last`` leaves out its codes."""
+def extended(relation: DataFrame, frequent: DataFrame, k: int, last: bool) -> DataFrame:
+    """The relation of phrases of k words, from the one before and its frequent entries (chunk, code, word ids); ``last`` leaves out codes."""
+    schema, before, after = _arrow(_phrases(k)), _ids(k - 1), _ids(k)
 
     def run(of: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left):
-            return _SCHEMA.empty_table()
+            return schema.empty_table()
         codes = np.frombuffer(left.column("codes")[0].as_buffer(), "<i4")
-        place, ids = (right.column(c).to_numpy() for c in ("code", "id"))
-        return pa.Table.from_batches(longer(codes, place, ids, of[0].as_py(), last), schema=_SCHEMA)
+        codes, ids, n = longer(codes, right.column("code").to_numpy(), [right.column(w).to_numpy() for w in before])
+        words = {w: pa.array(x) for w, x in zip(after, ids, strict=True)}
+        return pa.Table.from_batches(_rows(schema, of[0].as_py(), None if last else codes, n, **words), schema=schema)
 
     ship(relation.sparkSession)
-    entries = relation.where("code is not null").select("chunk", "code", *key).join(frequent.select(*key, "id"), key).select("chunk", "code", "id")
     places = relation.where("codes is not null").select(F.col("chunk").alias("part"), "codes")
-    return places.groupBy("part").cogroup(entries.groupBy("chunk")).applyInArrow(run, _ROWS)
+    return places.groupBy("part").cogroup(frequent.select("chunk", "code", *before).groupBy("chunk")).applyInArrow(run, _phrases(k))
 
 
 def frequent_phrases(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, **reading) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, k, f) of all phrases of 1 to ``max_words`` words with ``min_count`` occurrences, and (lang, n) of all words."""
-    relation, key = settled(occurrences(docs, **reading), "occurrences"), ["lang", "phrase"]
-    sizes = settled(relation.where("code is not null").groupBy("lang").agg(F.sum("n").alias("n")), "sizes")
-    levels = []
-    for k in range(1, max_words + 1):
-        if k > 1:
-            before, last = relation, levels[-1]
-            relation = settled(extended(before, last, key, k == max_words), "occurrences")
-            removed(before)
-            key = ["head", "tail"]
-        counts = relation.where("code is not null").groupBy(*key).agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
-        counts = settled(counts.withColumn("id", F.monotonically_increasing_id()), "frequent")
-        if k > 1:
-            # the text of a phrase is its head's and the tail's last word
-            head = levels[-1].select(F.col("id").alias("head"), "lang", F.col("phrase").alias("start"))
-            tail = levels[-1].select(F.col("id").alias("tail"), F.substring_index("phrase", " ", -1).alias("end"))
-            counts = counts.join(head, "head").join(tail, "tail").withColumn("phrase", F.concat_ws(" ", "start", "end"))
-            counts = settled(counts.select("lang", "phrase", "f", "id", "head", "tail"), "frequent")
-        levels.append(counts)
+    relation = settled(occurrences(docs, **reading), "occurrences")
+    entries = relation.where("code is not null")
+    sizes = settled(entries.groupBy("lang").agg(F.sum("n").alias("n")), "sizes")
+    words = entries.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
+    words = settled(words.withColumn("id", F.monotonically_increasing_id()), "words")
+    whole = words.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("k"), "f")
+    frequent = entries.select("chunk", "code", "lang", "word").join(words.select("lang", "word", F.col("id").alias("w1")), ["lang", "word"])
+    for k in range(2, max_words + 1):
+        longer_relation = settled(extended(relation, frequent, k, k == max_words), "occurrences")
+        removed(relation)
+        relation, key = longer_relation, _ids(k)
+        f = F.sum("n").over(Window.partitionBy(*key))
+        counted = relation.where("code is not null").select("chunk", "code", *key, f.alias("f")).where(F.col("f") >= min_count)
+        frequent = settled(counted, "frequent")
+        counts = frequent.groupBy(*key).agg(F.max("f").alias("f"))
+        for w in key:
+            named = words.select(F.col("id").alias(w), *([F.col("lang")] if w == "w1" else []), F.col("word").alias(f"_{w}"))
+            counts = counts.join(named, w)
+        text = F.concat_ws(" ", *[f"_{w}" for w in key])
+        counts = settled(counts.select("lang", text.alias("phrase"), F.lit(k).alias("k"), "f"), "counts")
+        whole = whole.unionByName(counts)
     removed(relation)
-    whole = None
-    for k, level in enumerate(levels, 1):
-        rows = level.select("lang", "phrase", F.lit(k).alias("k"), "f")
-        whole = rows if whole is None else whole.unionByName(rows)
     return whole, sizes
 
 
@@ -244,6 +260,11 @@ def collocations(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = M
 
 
 def top_phrases(found: DataFrame, many: int) -> DataFrame:
-    """The first ``many`` phrases of each language by score, count and phrase, with ``rank`` from 1."""
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= many)
+    """The first ``many`` phrases of each language by score, count and phrase, with ``rank`` from 1.
+
+    A language is cut in ``PARTS`` first, each to its own first ``many``, so what meets in one task does not grow with the language."""
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))
+    some = Window.partitionBy("lang", "_part").orderBy(*order)
+    first = found.withColumn("_part", part).withColumn("_rank", F.row_number().over(some)).where(F.col("_rank") <= many).drop("_part", "_rank")
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= many)
