@@ -23,7 +23,8 @@ import os
 import re
 import unicodedata
 import uuid
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -205,6 +206,10 @@ class ByteTokenizer:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
 
+    def plain(self, text: str) -> bool:
+        """Whether the text's pieces can be looked up: no special token, no character beyond Latin scripts."""
+        return not (self.other(text) or any(s in text for s in self.special))
+
     def slices(self, text: str) -> Iterator[np.ndarray]:
         """The ids of a text, slice by slice."""
         if any(s in text for s in self.special):
@@ -215,20 +220,38 @@ class ByteTokenizer:
             found = self.cut.search(text, start + SLICE) if len(text) - start > SLICE else None
             stop = found.start() if found else len(text)
             part = text[start:stop]
-            yield self.whole(part) if self.other(part) else np.frombuffer(self.looked_up(part), "<u4")
+            yield self.whole(part) if self.other(part) else self.looked_up([part])[0]
             start = stop
 
-    def looked_up(self, text: str) -> bytes:
-        pieces = self.pieces(text)
-        try:
-            return b"".join(map(self.known.__getitem__, pieces))
-        except KeyError:
-            if len(self.known) > CACHE:
-                self.known.clear()
-            new = list(set(pieces).difference(self.known))
-            for piece, ids in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(ids.ids, "<u4").tobytes()
-            return b"".join(map(self.known.__getitem__, pieces))
+    def looked_up(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of plain texts; pieces not seen before are encoded in one call."""
+        cut = [self.pieces(text) for text in texts]
+        if len(self.known) > CACHE:
+            self.known.clear()
+        new = list(set().union(*cut).difference(self.known))
+        for piece, ids in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.known[piece] = array("I", ids.ids).tobytes()
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), "<u4") for pieces in cut]
+
+    def documents(self, rows: Iterator[tuple[object, str]]) -> Iterator[tuple[object, Iterable[np.ndarray]]]:
+        """(name, slices of ids) of (name, text) in order; short plain texts are looked up together."""
+        held: list[tuple[object, str]] = []
+        size = 0
+        for name, text in rows:
+            short = len(text) <= SLICE and self.plain(text)
+            if short:
+                held.append((name, text))
+                size += len(text)
+            if not short or size >= SLICE:
+                yield from self._held(held)
+                held, size = [], 0
+            if not short:
+                yield name, self.slices(text)
+        yield from self._held(held)
+
+    def _held(self, held: list[tuple[object, str]]) -> Iterator[tuple[object, list[np.ndarray]]]:
+        for (name, _), ids in zip(held, self.looked_up([text for _, text in held]), strict=True):
+            yield name, [ids]
 
 
 @lru_cache(maxsize=2)
@@ -269,15 +292,15 @@ def write_ids(
         part = TaskContext.get().partitionId()
         name = f"ids-{part:06d}-{uuid.uuid4().hex}.bits"
         end = np.array([end_id], np.uint32)
-        for batch in batches:
-            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                if out is None:
-                    store.create_dir(base, recursive=True)
-                    stream = store.open_output_stream(f"{base}/{name}")
-                    out = Writer(stream, width(max(tool.vocabulary, end_id + 1)), block)
-                for ids in tool.slices(text.as_py() or ""):
-                    out.extend(ids)
-                out.add(doc.as_py(), end)
+        rows = ((doc.as_py(), text.as_py() or "") for batch in batches for doc, text in zip(batch.column(0), batch.column(1), strict=True))
+        for doc, slices in tool.documents(rows):
+            if out is None:
+                store.create_dir(base, recursive=True)
+                stream = store.open_output_stream(f"{base}/{name}")
+                out = Writer(stream, width(max(tool.vocabulary, end_id + 1)), block)
+            for ids in slices:
+                out.extend(ids)
+            out.add(doc, end)
         if out is not None:
             out.close()
             stream.close()
