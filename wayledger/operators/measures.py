@@ -2,6 +2,9 @@
 
 Blank order ids never survive cleaning, so a count of rows is the count of orders and the id column
 does not have to be read.
+
+Every measure also works on a condensed table, in which a row stands for many bookings with equal keys: it holds their number in
+``WEIGHT`` and the sum of their amounts.
 """
 
 from __future__ import annotations
@@ -12,22 +15,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def orders() -> Column:
-    return F.count(F.lit(1)).alias("orders")
+WEIGHT = "bookings"
+
+
+def weight(table: DataFrame) -> Column:
+    """Bookings that a row stands for."""
+    return F.col(WEIGHT) if WEIGHT in table.columns else F.lit(1).cast("bigint")
+
+
+def counted(table: DataFrame, condition: str | None = None) -> Column:
+    """Number of bookings, of those that meet a condition if one is given."""
+    if WEIGHT not in table.columns:
+        return F.count_if(F.expr(condition)) if condition else F.count(F.lit(1))
+    return F.coalesce(F.sum(F.when(F.expr(condition), F.col(WEIGHT)) if condition else F.col(WEIGHT)), F.lit(0).cast("bigint"))
+
+
+def orders(table: DataFrame) -> Column:
+    return counted(table).alias("orders")
+
+
+def condense(flagged: DataFrame, *groupings: Sequence[str]) -> DataFrame:
+    """One row per flags and keys of each grouping, from one pass; ``grouping`` tells the groupings apart, by their place.
+
+    Keys of other groupings are NULL in a row, so a report reads the rows of the one grouping that holds its keys."""
+    flags = [c for c in ("is_cur", "is_prev") if c in flagged.columns]
+    keys = list(dict.fromkeys(k for g in groupings for k in g))
+    order = [*flags, *keys]
+    sets = [[F.col(c) for c in (*flags, *g)] for g in groupings]
+    table = flagged.groupingSets(sets, *order).agg(
+        F.grouping_id().alias("_bits"), counted(flagged).alias(WEIGHT), F.coalesce(F.sum("twd_amount"), F.lit(0.0)).alias("twd_amount")
+    )
+    # a bit of grouping_id is set where a column is rolled up, the first column being the highest bit
+    bits = [sum(0 if c in flags or c in g else 1 << (len(order) - 1 - i) for i, c in enumerate(order)) for g in groupings]
+    place = F.coalesce(*[F.when(F.col("_bits") == b, F.lit(i)) for i, b in enumerate(bits)])
+    return table.withColumn("grouping", place).drop("_bits")
 
 
 def revenue() -> Column:
     return F.coalesce(F.sum("twd_amount"), F.lit(0.0)).alias("revenue")
 
 
-def compared() -> list[Column]:
+def compared(table: DataFrame) -> list[Column]:
     """Current and previous orders and revenue from rows flagged ``is_cur`` / ``is_prev``."""
     def amount(flag: str) -> Column:
         return F.coalesce(F.sum(F.when(F.col(flag), F.col("twd_amount"))), F.lit(0.0))
 
     return [
-        F.count_if("is_cur").alias("orders"),
-        F.count_if("is_prev").alias("prev_orders"),
+        counted(table, "is_cur").alias("orders"),
+        counted(table, "is_prev").alias("prev_orders"),
         amount("is_cur").alias("revenue"),
         amount("is_prev").alias("prev_revenue"),
     ]
@@ -46,7 +81,7 @@ def with_keys(bookings: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def summarize(bookings: DataFrame, *keys: str) -> DataFrame:
     """Orders and revenue per key."""
-    return with_keys(bookings, keys).groupBy(*keys).agg(orders(), revenue())
+    return with_keys(bookings, keys).groupBy(*keys).agg(orders(bookings), revenue())
 
 
 def compare(flagged: DataFrame, *keys: str, keep_vanished: bool = False) -> DataFrame:
@@ -55,7 +90,7 @@ def compare(flagged: DataFrame, *keys: str, keep_vanished: bool = False) -> Data
     Keys seen only in the previous period are dropped (a left join on the current period) unless
     ``keep_vanished`` asks for the union of keys (a full outer join).
     """
-    table = with_keys(flagged, keys).groupBy(*keys).agg(*compared())
+    table = with_keys(flagged, keys).groupBy(*keys).agg(*compared(flagged))
     return table if keep_vanished else table.filter(F.col("orders") > 0)
 
 

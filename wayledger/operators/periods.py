@@ -90,7 +90,9 @@ def date_bounds(bookings: DataFrame) -> DataFrame:
 
 
 def period_bounds(bookings: DataFrame, as_of: date) -> DataFrame:
-    """One row per preset with its clamped span and comparison span."""
+    """One row per preset with its clamped span and comparison span.
+
+    Of a stored table pass ``sources.bookings.edge_months(spark, path)``: all that its first and last day need."""
     today = F.lit(as_of)
     sunday = week_start(today)
     oldest, newest = F.col("oldest"), F.col("newest")

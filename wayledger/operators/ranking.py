@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayledger.operators.measures import orders, revenue, with_keys
+from wayledger.operators.measures import WEIGHT, counted, orders, revenue, with_keys
 
 
 def top(table: DataFrame, by: str, n: int, ties: Sequence[str]) -> DataFrame:
@@ -36,19 +36,33 @@ def product_rank(
     ``labels`` are extra columns computed from the product name after grouping.
     """
     keys = ["bnb_id", "bnb_name"] + (["bnb_city"] if with_city else [])
-    current = with_keys(flagged.filter("is_cur"), keys).groupBy(*keys).agg(orders(), revenue())
     if by == "orders":
-        ranked = top(current, "orders", n, keys)
+        ranked = top(_sold(flagged, keys), "orders", n, keys)
     elif by == "growth":
-        previous = (
-            with_keys(flagged.filter("is_prev"), ["bnb_id"])
-            .groupBy("bnb_id")
-            .agg(F.count(F.lit(1)).alias("prev_orders"))
-        )
-        joined = current.join(previous, "bnb_id", "left").withColumn(
-            "prev_orders", F.coalesce("prev_orders", F.lit(0).cast("bigint"))
-        )
-        ranked = top(joined.withColumn("growth", F.col("orders") - F.col("prev_orders")), "growth", n, keys)
+        sold = _condensed_growth(flagged, keys) if WEIGHT in flagged.columns else _growth(flagged, keys)
+        ranked = top(sold.withColumn("growth", F.col("orders") - F.col("prev_orders")), "growth", n, keys)
     else:
         raise ValueError(f"rank by 'orders' or 'growth', not {by!r}")
     return numbered(ranked.withColumns(dict(labels or {})), by, keys)
+
+
+def _sold(flagged: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return with_keys(flagged.filter("is_cur"), keys).groupBy(*keys).agg(orders(flagged), revenue())
+
+
+def _growth(flagged: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Current measures per key and previous orders per id, each side from its own months."""
+    previous = with_keys(flagged.filter("is_prev"), ["bnb_id"]).groupBy("bnb_id").agg(counted(flagged).alias("prev_orders"))
+    return _sold(flagged, keys).join(previous, "bnb_id", "left").withColumn(
+        "prev_orders", F.coalesce("prev_orders", F.lit(0).cast("bigint"))
+    )
+
+
+def _condensed_growth(flagged: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same of a condensed table, which is read once: previous orders are summed over the variants of an id."""
+    amount = F.coalesce(F.sum(F.when(F.col("is_cur"), F.col("twd_amount"))), F.lit(0.0))
+    variants = with_keys(flagged, ["bnb_id"]).groupBy(*keys).agg(
+        counted(flagged, "is_cur").alias("orders"), amount.alias("revenue"), counted(flagged, "is_prev").alias("prev_orders")
+    )
+    everywhere = F.sum("prev_orders").over(Window.partitionBy("bnb_id"))
+    return with_keys(variants.withColumn("prev_orders", everywhere).filter("orders > 0"), keys)

@@ -11,10 +11,12 @@ from wayledger.functions import classify as C
 from wayledger.functions import rules
 from wayledger.functions.calendar import lead_days, travel_month
 from wayledger.operators.drivers import ship_compare
-from wayledger.operators.measures import COMPARED, change_pct, compare, compared, differences, orders, regroup, revenue, summarize
+from wayledger.operators.measures import COMPARED, change_pct, compare, compared, counted, differences, orders, regroup, revenue, summarize, weight
 from wayledger.operators.ranking import product_rank, top
 from wayledger.plans.lines import of_line
 
+#: Column of a condensed table with the days from order to travel.
+LEAD = "lead"
 SHIP_OF: dict[str, Callable[[Column], Column]] = {
     rules.HOMEPORT: C.homeport_ship,
     rules.FLY_CRUISE: C.cruise_ship,
@@ -35,8 +37,9 @@ def trip_length(cruise_type: str) -> Column:
 
 def kpi_cruise(flagged: DataFrame) -> DataFrame:
     """Figures for all cruises and for each type, with mean order value and mean nights."""
+    nights = F.col("nights") * weight(flagged)
     by_type = of_line(flagged, "Cruise").groupBy("cruise_type").agg(
-        *compared(), F.sum(F.when(F.col("is_cur"), F.col("nights"))).alias("nights")
+        *compared(flagged), F.sum(F.when(F.col("is_cur"), nights)).alias("nights")
     )
     table = by_type.rollup("cruise_type").agg(*[F.sum(m).alias(m) for m in (*COMPARED, "nights")])
     scope = F.coalesce("cruise_type", F.lit("Cruise"))
@@ -74,7 +77,7 @@ def cruise_checkin_distribution(bookings: DataFrame) -> DataFrame:
 
 
 def nights_distribution(bookings: DataFrame) -> DataFrame:
-    return of_line(bookings, "Cruise").groupBy("nights").agg(orders()).orderBy("nights")
+    return of_line(bookings, "Cruise").groupBy("nights").agg(orders(bookings)).orderBy("nights")
 
 
 def brand_days(bookings: DataFrame, cruise_type: str = rules.HOMEPORT) -> DataFrame:
@@ -85,7 +88,7 @@ def brand_days(bookings: DataFrame, cruise_type: str = rules.HOMEPORT) -> DataFr
 def month_brand(bookings: DataFrame) -> DataFrame:
     """Orders per cruise type, travel month and brand."""
     months = of_line(bookings, "Cruise").withColumn("check_in_month", travel_month(F.col("check_in")))
-    products = months.groupBy("cruise_type", "check_in_month", "bnb_name").agg(orders())
+    products = months.groupBy("cruise_type", "check_in_month", "bnb_name").agg(orders(bookings))
     return regroup(products, {"brand": C.cruise_brand(F.col("bnb_name"))}, "cruise_type", "check_in_month").select(
         "cruise_type", "check_in_month", "brand", "orders"
     ).orderBy("cruise_type", "check_in_month", "brand")
@@ -97,7 +100,7 @@ def _cells(flagged: DataFrame, cruise_type: str) -> DataFrame:
         {"length": trip_length(cruise_type), "month": travel_month(F.col("check_in"))}
     )
     products = trips.groupBy("bnb_name", "length", "month").agg(
-        F.count_if("is_cur").alias("orders"), F.count_if("is_prev").alias("prev_orders")
+        counted(trips, "is_cur").alias("orders"), counted(trips, "is_prev").alias("prev_orders")
     )
     labels = {"brand": C.cruise_brand(F.col("bnb_name")), "ship": SHIP_OF[cruise_type](F.col("bnb_name"))}
     return regroup(products, labels, "length", "month")
@@ -120,6 +123,16 @@ def trip_length_compare(flagged: DataFrame, cruise_type: str = rules.HOMEPORT, s
     return differences(table).orderBy(F.regexp_extract("days", "([0-9]+)", 1).cast("int"), "days")
 
 
+def ship_picker(flagged: DataFrame, cruise_type: str) -> DataFrame:
+    """Ships of either period, each with the orders it had in both; one pass.
+
+    The trip-length table offers all of them, the rankings those with current orders."""
+    products = of_type(flagged, cruise_type).groupBy("bnb_name").agg(
+        counted(flagged, "is_cur").alias("orders"), counted(flagged, "is_prev").alias("prev_orders")
+    )
+    return regroup(products, {"ship": SHIP_OF[cruise_type](F.col("bnb_name"))}).orderBy("ship")
+
+
 def ship_options(bookings: DataFrame, cruise_type: str) -> DataFrame:
     names = of_type(bookings, cruise_type).select("bnb_name").distinct()
     return names.select(SHIP_OF[cruise_type](F.col("bnb_name")).alias("ship")).distinct().orderBy("ship")
@@ -158,14 +171,10 @@ def destination_compare(flagged: DataFrame, cruise_type: str, n: int = 15) -> Da
 
 def _leads(bookings: DataFrame, cruise_type: str) -> DataFrame:
     """Orders per lead time in days: a few hundred rows whatever the number of bookings."""
-    lead = lead_days(F.col("order_date"), F.col("check_in"))
-    return (
-        of_type(bookings, cruise_type)
-        .select(lead.alias("lead"))
-        .filter(F.col("lead").isNotNull())
-        .groupBy("lead")
-        .agg(orders())
-    )
+    trips = of_type(bookings, cruise_type)
+    if LEAD not in bookings.columns:
+        trips = trips.select(lead_days(F.col("order_date"), F.col("check_in")).alias(LEAD))
+    return trips.filter(F.col(LEAD).isNotNull()).groupBy(F.col(LEAD).alias("lead")).agg(orders(trips))
 
 
 def lead_time_histogram(bookings: DataFrame, cruise_type: str = rules.HOMEPORT) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayledger.functions.calendar import travel_month
@@ -18,8 +18,13 @@ def line_top_products(bookings: DataFrame, line: str, n: int = 20) -> DataFrame:
     return top(summarize(of_line(bookings, line), "bnb_name"), "revenue", n, ["bnb_name"])
 
 
-def line_type_share(bookings: DataFrame, line: str) -> DataFrame:
-    return summarize(of_line(bookings, line), "bnb_type").orderBy(F.desc("revenue"), "bnb_type")
+def line_type_share(bookings: DataFrame, line: str, several: bool = False) -> DataFrame:
+    """Orders and revenue per type; with ``several`` only where there is more than one type."""
+    table = summarize(of_line(bookings, line), "bnb_type")
+    if several:
+        types = F.count(F.lit(1)).over(Window.partitionBy())  # one row for each type
+        table = table.withColumn("_types", types).filter("_types > 1").drop("_types")
+    return table.orderBy(F.desc("revenue"), "bnb_type")
 
 
 def checkin_monthly(bookings: DataFrame, line: str) -> DataFrame:
@@ -29,4 +34,4 @@ def checkin_monthly(bookings: DataFrame, line: str) -> DataFrame:
 
 def platform_share(bookings: DataFrame, line: str) -> DataFrame:
     known = of_line(bookings, line).filter(F.col("platform").isNotNull())
-    return known.groupBy("platform").agg(orders()).orderBy(F.desc("orders"), "platform")
+    return known.groupBy("platform").agg(orders(known)).orderBy(F.desc("orders"), "platform")

@@ -167,11 +167,11 @@ def _pct(cur: str, prev: str) -> str:
     return f"CASE WHEN {prev} > 0 THEN ({cur} - {prev}) / {prev} * 100 END"
 
 
-def _kpis(period=R.HALVES) -> str:
+def _kpis(period=R.HALVES, where: str = "true") -> str:
     side = "SELECT count(*) AS orders, coalesce(sum(twd_amount), 0) AS revenue FROM"
     return bookings(
-        f""", c AS (SELECT *, CASE WHEN orders = 0 THEN 0.0 ELSE revenue / orders END AS aov FROM ({side} cur)),
-p AS (SELECT *, CASE WHEN orders = 0 THEN 0.0 ELSE revenue / orders END AS aov FROM ({side} prev))
+        f""", c AS (SELECT *, CASE WHEN orders = 0 THEN 0.0 ELSE revenue / orders END AS aov FROM ({side} cur WHERE {where})),
+p AS (SELECT *, CASE WHEN orders = 0 THEN 0.0 ELSE revenue / orders END AS aov FROM ({side} prev WHERE {where}))
 SELECT c.revenue, p.revenue AS prev_revenue, {_pct('c.revenue', 'p.revenue')} AS revenue_pct,
   c.orders, p.orders AS prev_orders, {_pct('c.orders', 'p.orders')} AS orders_pct,
   c.aov AS avg_order, p.aov AS prev_avg_order, {_pct('c.aov', 'p.aov')} AS avg_order_pct
@@ -250,8 +250,7 @@ def _averages() -> str:
     return ", ".join(parts)
 
 
-def _holidays() -> str:
-    start, end = R.HOLIDAY_SPAN
+def _holidays(start=R.HOLIDAY_SPAN[0], end=R.HOLIDAY_SPAN[1]) -> str:
     return f"""WITH h AS (SELECT d, string_split(name, '（')[1] AS name FROM ({testdata.HOLIDAYS.format(orders='orders')})
   WHERE d >= date '{start}' AND d <= date '{end}'),
 flagged AS (SELECT *, CASE WHEN date_diff('day', lag(d) OVER (ORDER BY d), d) <= 3 THEN 0 ELSE 1 END AS opens FROM h),
@@ -316,15 +315,198 @@ FROM ships LEFT JOIN said USING (brand, ship)"""
     )
 
 
-def _days_compare() -> str:
+def _days_compare(where: str = "true") -> str:
     return bookings(
         f"""{_ship_cells(rules.HOMEPORT, _HOME_SHIP)}
 SELECT days, coalesce(a.n, 0) AS orders, coalesce(b.n, 0) AS prev_orders, coalesce(a.n, 0) - coalesce(b.n, 0) AS orders_diff
-FROM (SELECT length AS days, count(*) AS n FROM c GROUP BY 1) AS a
-FULL JOIN (SELECT length AS days, count(*) AS n FROM p GROUP BY 1) AS b USING (days)"""
+FROM (SELECT length AS days, count(*) AS n FROM c WHERE {where} GROUP BY 1) AS a
+FULL JOIN (SELECT length AS days, count(*) AS n FROM p WHERE {where} GROUP BY 1) AS b USING (days)"""
     )
 
 
+def _picker(label: str, name: str, where: str) -> str:
+    return bookings(
+        f"""SELECT {name}, cast(sum(n) AS bigint) AS orders, cast(sum(m) AS bigint) AS prev_orders FROM (
+  SELECT {label} AS {name}, 1 AS n, 0 AS m FROM cur WHERE {where} UNION ALL SELECT {label}, 0, 1 FROM prev WHERE {where}) GROUP BY 1"""
+    )
+
+
+def _now(sql: str) -> str:
+    """The statement over current bookings alone instead of all booked ones."""
+    start = sql.index("\nprev AS (")
+    end = sql.index("\n", start + 1)
+    return sql[:end] + sql[end:].replace("FROM booked", "FROM cur")
+
+
+def _stacked(**sections: tuple[str, str, str]) -> str:
+    """Numbers of several tables in one: section -> (statement, its text columns, its number columns)."""
+    parts = []
+    for section, (sql, texts, numbers) in sections.items():
+        names = numbers.split()
+        subject = f"concat_ws(' | ', {', '.join(texts.split())})" if texts else "''"
+        values = ", ".join(f"cast({n} AS double)" for n in names) if names else "1.0"
+        parts.append(
+            f"""SELECT '{section}' AS section, {subject} AS subject, unnest([{quoted(names or ['rows'])}]) AS measure,
+unnest([{values}]) AS value FROM ({sql})"""
+        )
+    return "\nUNION ALL\n".join(parts)
+
+
+_SALES = "orders revenue"
+_RANKED, _GROWN = "orders revenue rank_no", "orders revenue prev_orders growth rank_no"
+_AGAINST = "orders prev_orders orders_diff"
+_KPI = "revenue prev_revenue revenue_pct orders prev_orders orders_pct avg_order prev_avg_order avg_order_pct"
+
+
+def _rank_sections(where: str, **shape: bool) -> dict[str, tuple[str, str, str]]:
+    texts = "bnb_id bnb_name" + (" bnb_city" if shape.get("city") else "") + (" region" if shape.get("region") else "")
+    return {
+        "rank_orders": (_rank(where, "orders", **shape), texts, _RANKED),
+        "rank_growth": (_rank(where, "growth", **shape), texts, _GROWN),
+    }
+
+
+def _months(where: str) -> tuple[str, str, str]:
+    return _now(bookings(summary(f"{MONTH} AS check_in_month", where=where))), "check_in_month", _SALES
+
+
+def _best_sellers(where: str) -> tuple[str, str, str]:
+    return _now(_top(summary("bnb_name", where=where), "revenue", 20, "bnb_name")), "bnb_name", _SALES
+
+
+def _types(where: str) -> tuple[str, str, str]:
+    return _now(bookings(f"SELECT * FROM ({summary('bnb_type', where=where)}) QUALIFY count(*) OVER () > 1")), "bnb_type", _SALES
+
+
+def _cruise_page(kind: str, ship: str, picked: str, **more: tuple[str, str, str]) -> str:
+    return _stacked(
+        kpis=(
+            _kpi_cruise(), "scope",
+            "revenue prev_revenue revenue_pct orders prev_orders orders_pct aov prev_aov aov_pct avg_nights",
+        ),
+        month_brand=(
+            bookings(
+                f"SELECT cruise_type, {MONTH} AS check_in_month, {_BRAND} AS brand, count(*) AS orders FROM cur WHERE {_of(kind)} GROUP BY ALL"
+            ),
+            "cruise_type check_in_month brand", "orders",
+        ),
+        ships=(_ship_compare(kind, ship), "brand ship main_driver", _AGAINST),
+        ship_picker=(_picker(ship, "ship", _of(kind)), "ship", "orders prev_orders"),
+        **_rank_sections(f"{_of(kind)} AND {picked}"),
+        destinations=(_dest_compare(kind), "destination", _AGAINST),
+        lead_times=(_now(_lead_histogram(kind)), "lead_bin", "bin_no orders"),
+        lead_stats=(_now(_lead_stats(kind)), "", "median_days mean_days median_months"),
+        **more,
+    )
+
+
+def _pages() -> dict[str, str]:
+    home, fly, git = rules.HOMEPORT, rules.FLY_CRUISE, _line("GIT")
+    rooms = f"{_line('TW')} AND bnb_type IS DISTINCT FROM 'Bnb / Apartment'"
+    tw_rooms = _regions("TW", _TW_CITY).replace("product_line = 'TW'", rooms)
+    jp, rail, esim = _regions("JP", "bnb_city"), _line("高鐵"), _line("eSIM")
+    picked_ships = f"{_HOME_SHIP} IN ({quoted(R.RANK_SHIPS)})"
+
+    def by_aov(regions: str) -> str:
+        return _now(
+            bookings(
+                f"""SELECT * FROM ({regions}) WHERE orders >= 5
+OR NOT EXISTS (SELECT * FROM ({regions}) WHERE orders >= 5) ORDER BY aov DESC, region LIMIT 20"""
+            )
+        )
+
+    def stays(where: str, regions: str, **more: tuple[str, str, str]) -> str:
+        return _stacked(
+            kpis=(_kpis(where=where), "", _KPI),
+            regions_by_revenue=(_now(_top(regions, "revenue", 20, "region")), "region", "orders revenue aov"),
+            regions_by_aov=(by_aov(regions), "region", "orders revenue aov"),
+            months=_months(where),
+            **_rank_sections(where, city=True),
+            **more,
+        )
+
+    def line(where: str, **more: tuple[str, str, str]) -> str:
+        return _stacked(kpis=(_kpis(where=where), "", _KPI), top_products=_best_sellers(where), **_rank_sections(where), **more)
+
+    hoshino = f"{_line('JP')} AND (contains(bnb_name, '星野') OR contains(lower(bnb_name), 'hoshino'))"
+    return {
+        "homeport_ship_picker": _picker(_HOME_SHIP, "ship", _of(home)),
+        "git_region_picker": _picker(_REGION, "region", git),
+        "homeport_days_compare_picked": _days_compare(f"ship IN ({quoted(R.LENGTH_SHIPS)})"),
+        "homeport_rank_growth_picked": _rank(f"{_of(home)} AND {picked_ships}", "growth"),
+        "git_rank_growth_picked": _rank(f"{git} AND {_REGION} IN ({quoted(R.PICKED_REGIONS)})", "growth", region=True),
+        "page_overview": _stacked(
+            kpis=(_kpis(), "", _KPI),
+            lines=(_now(_with_share(summary("product_line"))), "product_line", "orders revenue share_pct"),
+            trend=(_now(_trend("d", "1 DAY", "b")), "bucket_end", "revenue"),
+            holidays=(_holidays(R.HALVES.start, R.HALVES.end), 'start "end" name', ""),
+            bars=(
+                _now(bookings(f"{_ohlc(f'{_WEEK} + 6')} SELECT *, {_averages()} FROM bars")), "bucket_end",
+                "open high low close ma5 ma10 ma20 ma60",
+            ),
+            detail=(_line_detail(), "product_line", "orders prev_orders orders_diff revenue prev_revenue revenue_diff"),
+            top_products=(_now(_top_products()), "bnb_name product_line", "orders revenue rank_no avg_order"),
+        ),
+        "page_homeport": _cruise_page(
+            home, _HOME_SHIP, picked_ships,
+            brand_days=(_now(_brand_days()), "brand days", "revenue"),
+            trip_lengths=(_days_compare(f"ship IN ({quoted(R.LENGTH_SHIPS)})"), "days", _AGAINST),
+        ),
+        "page_fly": _cruise_page(
+            fly, _SHIP, "true",
+            top_products=_best_sellers(_of(fly)),
+            nights=(bookings(f"SELECT nights, count(*) AS orders FROM cur WHERE {_of(fly)} GROUP BY 1"), "", "nights orders"),
+        ),
+        "page_tours": _stacked(
+            kpis=(_kpis(where=git), "", _KPI),
+            regions=(_now(_with_share(summary(f"{_REGION} AS region", where=git))), "region", "orders revenue share_pct"),
+            months=_months(git),
+            region_picker=(_picker(_REGION, "region", git), "region", "orders prev_orders"),
+            **_rank_sections(f"{git} AND {_REGION} IN ({quoted(R.PICKED_REGIONS)})", region=True),
+        ),
+        "page_stays_tw": stays(rooms, tw_rooms, types=_types(rooms)),
+        "page_stays_jp": stays(_line("JP"), jp, hoshino=(_now(bookings(summary("bnb_name", where=hoshino))), "bnb_name", _SALES)),
+        "page_sports": line(
+            _line("SEB"),
+            months=_months(_line("SEB")),
+            cross=(_now(_seb_cross()), "seb_type seb_country", "orders revenue intensity"),
+            cross_table=(
+                _now(_seb_pivot()), "seb_type", " ".join(f"{n}_{m}" for m in ("revenue", "orders") for n in (*COUNTRY_COLUMNS.values(), "total"))
+            ),
+            type_order=(_now(_seb_order()), "seb_type", "revenue orders by_revenue by_orders"),
+        ),
+        "page_rail": line(rail, types=_types(rail), months=_months(rail)),
+        "page_esim": line(
+            esim,
+            platforms=(
+                bookings(f"SELECT platform, count(*) AS orders FROM cur WHERE {esim} AND platform IS NOT NULL GROUP BY 1"), "platform", "orders"
+            ),
+        ),
+        "page_channels": _stacked(
+            compare=(_channel_compare(), "channel", "orders prev_orders orders_diff gmv prev_gmv gmv_diff aov prev_aov aov_diff"),
+            by_line=(_now(bookings(summary("channel | product_line"))), "channel product_line", _SALES),
+            pivot=(_now(_pivot()), "channel", " ".join(LINE_COLUMNS.values())),
+        ),
+        "page_search": _stacked(
+            totals=(bookings(f"SELECT count(*) AS orders, coalesce(sum(twd_amount), 0) AS revenue FROM cur WHERE {_SEARCHED}"), "", _SALES),
+            orders=(
+                bookings(f"SELECT {_ORDER_LIST} FROM cur WHERE {_SEARCHED}"),
+                " ".join(c for c in ORDER_COLUMNS if c not in ("nights", "twd_amount")), "nights twd_amount",
+            ),
+        ),
+        "page_traffic": _stacked(
+            kpis=(
+                _wau_kpi(), "latest_week running_week",
+                "latest_wau prev_wau wau_diff running_wau days_elapsed projected_wau projected_rest mean_wau",
+            ),
+            weeks=(weeks(f"SELECT yearweek, {day('week_start')} AS week_start, wau FROM shown"), "yearweek week_start", "wau"),
+            channel_weeks=(weeks(f"SELECT {day('week_start')} AS week_start, channel, users FROM shown_channels"), "week_start channel", "users"),
+            channel_order=(weeks("SELECT channel, cast(sum(users) AS bigint) AS users FROM shown_channels GROUP BY 1"), "channel", "users"),
+            channel_kpis=(_channel_kpi(), "channel", "total_users users prev_users users_diff users_pct"),
+        ),
+    }
+
+
 _PLACES = "(VALUES " + ", ".join(f"('{p}')" for p in rules.CRUISE_DESTINATIONS) + ") AS k(destination)"
 _NAMED = "contains(replace(bnb_name, '地中海郵輪', ''), destination)"
 
@@ -564,6 +746,39 @@ def _line(name: str) -> str:
     return f"product_line = '{name}'"
 
 
+def _seb_cross() -> str:
+    return bookings(
+        f"""{_GRID} SELECT coalesce(seb_type, '合計') AS seb_type, coalesce(seb_country, '合計') AS seb_country,
+cast(sum(orders) AS bigint) AS orders, sum(revenue) AS revenue,
+CASE WHEN grouping(seb_type) = 0 AND grouping(seb_country) = 0 AND sum(revenue) > 0
+  THEN sqrt(sum(revenue) / (SELECT max(revenue) FROM cells)) END AS intensity
+FROM cells GROUP BY CUBE (seb_type, seb_country)"""
+    )
+
+
+def _seb_order() -> str:
+    return bookings(
+        f"""{_GRID}, totals AS (SELECT seb_type, sum(revenue) AS revenue, cast(sum(orders) AS bigint) AS orders
+FROM cells GROUP BY 1)
+SELECT *, row_number() OVER (ORDER BY revenue DESC, seb_type) AS by_revenue,
+row_number() OVER (ORDER BY orders DESC, seb_type) AS by_orders FROM totals"""
+    )
+
+
+def _top_products() -> str:
+    return bookings(
+        f"""SELECT *, row_number() OVER (ORDER BY revenue DESC, bnb_name, product_line) AS rank_no,
+revenue / orders AS avg_order FROM ({summary('bnb_name | product_line')}) ORDER BY revenue DESC, bnb_name, product_line LIMIT 10"""
+    )
+
+
+def _brand_days() -> str:
+    return bookings(
+        f"""SELECT {_BRAND} AS brand, cast(nights + 1 AS varchar) || ' 天' AS days, sum(twd_amount) AS revenue
+FROM booked WHERE {_of(rules.HOMEPORT)} GROUP BY 1, 2"""
+    )
+
+
 def oracle() -> dict[str, str]:
     cruise = _line("Cruise")
     home, fly = rules.HOMEPORT, rules.FLY_CRUISE
@@ -588,10 +803,7 @@ AND channel IN ({quoted(R.FILTER_CHANNELS)})"""
         "product_line_share": _with_share(summary("product_line")),
         "product_line_detail": _line_detail(),
         "product_line_detail_90d": _line_detail(R.LAST_90),
-        "top_products": bookings(
-            f"""SELECT *, row_number() OVER (ORDER BY revenue DESC, bnb_name, product_line) AS rank_no,
-revenue / orders AS avg_order FROM ({summary('bnb_name | product_line')}) ORDER BY revenue DESC, bnb_name, product_line LIMIT 10"""
-        ),
+        "top_products": _top_products(),
         "revenue_trend_day": _trend("d", "1 DAY", "b"),
         "revenue_trend_week": _trend(_WEEK, "7 DAY", "b + 6"),
         "revenue_trend_month": _trend("date_trunc('month', d)", "1 MONTH", "last_day(b)"),
@@ -606,10 +818,7 @@ revenue / orders AS avg_order FROM ({summary('bnb_name | product_line')}) ORDER
         "homeport_ship_summary": bookings(summary(f"{_HOME_SHIP} AS ship", where=_of(home))),
         "cruise_checkin_distribution": bookings(summary(f"{MONTH} AS check_in_month | cruise_type", where=cruise)),
         "cruise_nights_distribution": bookings(f"SELECT nights, count(*) AS orders FROM booked WHERE {cruise} GROUP BY 1"),
-        "homeport_brand_days": bookings(
-            f"""SELECT {_BRAND} AS brand, cast(nights + 1 AS varchar) || ' 天' AS days, sum(twd_amount) AS revenue
-FROM booked WHERE {_of(home)} GROUP BY 1, 2"""
-        ),
+        "homeport_brand_days": _brand_days(),
         "cruise_month_brand": bookings(
             f"""SELECT cruise_type, {MONTH} AS check_in_month, {_BRAND} AS brand, count(*) AS orders
 FROM booked WHERE {cruise} GROUP BY 1, 2, 3"""
@@ -662,20 +871,9 @@ WHERE product_line IN ('TW', 'KR', 'JP') AND {condition} GROUP BY 1"""
         "stay_rank_growth": _rank(_line("KR"), "growth", city=True),
         "seb_type_summary": bookings(summary("seb_type", where=_line("SEB"))),
         "seb_country_summary": bookings(summary("seb_country", where=_line("SEB"))),
-        "seb_cross": bookings(
-            f"""{_GRID} SELECT coalesce(seb_type, '合計') AS seb_type, coalesce(seb_country, '合計') AS seb_country,
-cast(sum(orders) AS bigint) AS orders, sum(revenue) AS revenue,
-CASE WHEN grouping(seb_type) = 0 AND grouping(seb_country) = 0 AND sum(revenue) > 0
-  THEN sqrt(sum(revenue) / (SELECT max(revenue) FROM cells)) END AS intensity
-FROM cells GROUP BY CUBE (seb_type, seb_country)"""
-        ),
+        "seb_cross": _seb_cross(),
         "seb_cross_pivot": _seb_pivot(),
-        "seb_type_order": bookings(
-            f"""{_GRID}, totals AS (SELECT seb_type, sum(revenue) AS revenue, cast(sum(orders) AS bigint) AS orders
-FROM cells GROUP BY 1)
-SELECT *, row_number() OVER (ORDER BY revenue DESC, seb_type) AS by_revenue,
-row_number() OVER (ORDER BY orders DESC, seb_type) AS by_orders FROM totals"""
-        ),
+        "seb_type_order": _seb_order(),
         "line_top_products": _top(summary("bnb_name", where=_line("SEB")), "revenue", 20, "bnb_name"),
         "line_type_share": bookings(summary("bnb_type", where=_line("高鐵"))),
         "checkin_monthly": bookings(summary(f"{MONTH} AS check_in_month", where=_line("GIT"))),
@@ -704,4 +902,5 @@ FROM booked GROUP BY 1"""
         "insights": _insights(),
         "insights_90d": _insights(R.LAST_90),
         "insight_report": _report(),
+        **_pages(),
     }

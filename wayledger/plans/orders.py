@@ -19,4 +19,4 @@ def order_list(found: DataFrame) -> DataFrame:
 
 
 def order_totals(found: DataFrame) -> DataFrame:
-    return found.agg(orders(), revenue())
+    return found.agg(orders(found), revenue())

@@ -23,7 +23,7 @@ def _kpis(table: DataFrame, *keys: str) -> DataFrame:
 
 
 def kpi_overview(flagged: DataFrame) -> DataFrame:
-    return _kpis(flagged.agg(*compared()))
+    return _kpis(flagged.agg(*compared(flagged)))
 
 
 def kpi_by_line(flagged: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from wayledger.operators.clean import clean_bookings
 from wayledger.operators.filters import filter_bookings
 from wayledger.operators.periods import Period, flag_periods
 from wayledger.operators.ranking import product_rank
-from wayledger.plans import channels, cruise, insights, lines, orders, overview, sports, stays, tours, traffic
+from wayledger.plans import channels, cruise, insights, lines, orders, overview, pages, sports, stays, tours, traffic
 from wayledger.sources import testdata
 from wayledger.sources.traffic import weekly_channel_users, weekly_users
 
@@ -32,6 +32,9 @@ FILTER_LINES = ["Cruise", "GIT", "TW", "SEB"]
 FILTER_CHANNELS = [rules.DIRECT_CHANNEL, "aff_6", "aff_8"]
 FILTER_STATUSES = ["completed", "confirmed"]
 WAU_ROWS = 52
+RANK_SHIPS = ["莎倫娜號", "海洋富士號"]
+LENGTH_SHIPS = ["地中海榮耀號"]
+PICKED_REGIONS = ["北海道", "越南"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -171,6 +174,25 @@ QUERIES: dict[str, Query] = {
     "wau_channel_window": lambda s, d: iso(_shown_channels(s, d)),
     "wau_channel_order": lambda s, d: traffic.channel_order(_shown_channels(s, d)),
     "wau_channel_kpi": lambda s, d: traffic.channel_kpi(_shown_channels(s, d), AS_OF),
+    # pickers
+    "homeport_ship_picker": lambda s, d: cruise.ship_picker(flagged(s, d), rules.HOMEPORT),
+    "git_region_picker": lambda s, d: tours.region_picker(flagged(s, d)),
+    "homeport_days_compare_picked": lambda s, d: cruise.trip_length_compare(flagged(s, d), rules.HOMEPORT, LENGTH_SHIPS),
+    "homeport_rank_growth_picked": lambda s, d: cruise.cruise_rank(flagged(s, d), rules.HOMEPORT, "growth", RANK_SHIPS),
+    "git_rank_growth_picked": lambda s, d: tours.tour_rank(flagged(s, d), "growth", PICKED_REGIONS),
+    # whole pages, every number of every table
+    "page_overview": lambda s, d: pages.stacked(pages.overview_page(flagged(s, d), testdata.holidays(s, d), HALVES)),
+    "page_homeport": lambda s, d: pages.stacked(pages.cruise_page(flagged(s, d), rules.HOMEPORT, RANK_SHIPS, LENGTH_SHIPS)),
+    "page_fly": lambda s, d: pages.stacked(pages.cruise_page(flagged(s, d), rules.FLY_CRUISE)),
+    "page_tours": lambda s, d: pages.stacked(pages.tours_page(flagged(s, d), PICKED_REGIONS)),
+    "page_stays_tw": lambda s, d: pages.stacked(pages.stays_page(flagged(s, d), "TW", rules.STAY_VIEW_ROOMS)),
+    "page_stays_jp": lambda s, d: pages.stacked(pages.stays_page(flagged(s, d), "JP")),
+    "page_sports": lambda s, d: pages.stacked(pages.sports_page(flagged(s, d))),
+    "page_rail": lambda s, d: pages.stacked(pages.line_page(flagged(s, d), "高鐵")),
+    "page_esim": lambda s, d: pages.stacked(pages.line_page(flagged(s, d), "eSIM", has_travel_date=False, has_types=False)),
+    "page_channels": lambda s, d: pages.stacked(pages.channels_page(flagged(s, d))),
+    "page_search": lambda s, d: pages.stacked(pages.search_page(flagged(s, d), SEARCH_WORD, SEARCH_LINES)),
+    "page_traffic": lambda s, d: pages.stacked(pages.traffic_page(_weeks(s, d), _channel_weeks(s, d), AS_OF, "近52週")),
     # report
     "insights": lambda s, d: insights.insights(flagged(s, d), HALVES, AS_OF),
     "insights_90d": lambda s, d: insights.insights(flagged(s, d, LAST_90), LAST_90, AS_OF),

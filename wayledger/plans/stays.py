@@ -56,7 +56,7 @@ def view_split(bookings: DataFrame) -> DataFrame:
     halves = (
         bookings.filter(F.col("product_line").isin(MARKETS))
         .groupBy("product_line", whole.alias("is_whole"))
-        .agg(orders(), revenue())
+        .agg(orders(bookings), revenue())
     )
     own = F.when(F.col("is_whole"), rules.STAY_VIEW_WHOLE).otherwise(rules.STAY_VIEW_ROOMS)
     views = halves.withColumn("view", F.explode(F.array(F.lit(rules.STAY_VIEW_ALL), own)))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayledger.functions import classify as C
-from wayledger.operators.measures import regroup, share_pct, summarize
+from wayledger.operators.measures import counted, regroup, share_pct, summarize
 from wayledger.operators.ranking import product_rank
 from wayledger.plans.lines import of_line
 
@@ -28,6 +28,14 @@ def region_options(bookings: DataFrame) -> DataFrame:
     return names.select(C.tour_region(F.col("bnb_name")).alias("region")).distinct().orderBy("region")
 
 
+def region_picker(flagged: DataFrame) -> DataFrame:
+    """Regions of either period, each with the orders it had in both; one pass."""
+    products = of_line(flagged, LINE).groupBy("bnb_name").agg(
+        counted(flagged, "is_cur").alias("orders"), counted(flagged, "is_prev").alias("prev_orders")
+    )
+    return regroup(products, {"region": C.tour_region(F.col("bnb_name"))}).orderBy("region")
+
+
 def tour_rank(flagged: DataFrame, by: str = "orders", regions: Sequence[str] = ()) -> DataFrame:
     """Product ranking with the region; the region picker applies to both periods."""
     tours = of_line(flagged, LINE)

@@ -186,6 +186,20 @@ def _stored(spark: SparkSession, path: str) -> DataFrame:
     return table.withColumns({c: F.col(c).cast("string") for c in (MONTH_PARTITION, BATCH_PARTITION)})
 
 
+def _layout(spark: SparkSession, path: str) -> list[tuple[str, str, str]]:
+    """(month, batch, file) of every stored file, from the listing alone."""
+    files = spark.read.parquet(path).inputFiles()
+    return [(*(unquote(part.split("=", 1)[1]) for part in file.split("/")[-3:-1]), file) for file in files]
+
+
+def edge_months(spark: SparkSession, path: str) -> DataFrame:
+    """Stored bookings of the first and of the last month alone, found from the folder names.
+
+    They hold the oldest and the newest order date, so date bounds read two folders whatever the table's size."""
+    months = sorted({month for month, _, _ in _layout(spark, path)} - {NO_MONTH})
+    return read_clean(spark, path).filter(F.col(MONTH_PARTITION).isin(months[:1] + months[-1:]))
+
+
 def replace_month(bookings: DataFrame, path: str, month: str) -> None:
     """Put these clean bookings in place of everything stored for one month (``yyyy-MM``), whatever batches it came from.
 
@@ -202,11 +216,9 @@ def compact(spark: SparkSession, path: str, most_files: int = 16) -> list[str]:
 
     The newest batch of each stream stays as it is: it alone may still be written again."""
     finish_swaps(spark, path)
-    files = spark.read.parquet(path).inputFiles()
     layout: dict[str, list[tuple[str, str]]] = {}
-    for file in files:
-        month, batch = (part.split("=", 1)[1] for part in file.split("/")[-3:-1])
-        layout.setdefault(unquote(month), []).append((unquote(batch), file))
+    for month, batch, file in _layout(spark, path):
+        layout.setdefault(month, []).append((batch, file))
     newest: dict[str, str] = {}
     for batch, _ in (pair for pairs in layout.values() for pair in pairs):
         if batch != FULL_LOAD:
