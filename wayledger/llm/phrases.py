@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -191,72 +191,86 @@ def extended(relation: DataFrame, frequent: DataFrame, k: int, last: bool) -> Da
     return places.groupBy("part").cogroup(frequent.select("chunk", "code", *before).groupBy("chunk")).applyInArrow(run, _phrases(k))
 
 
-def frequent_phrases(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, **reading) -> tuple[DataFrame, DataFrame]:
-    """(lang, phrase, k, f) of all phrases of 1 to ``max_words`` words with ``min_count`` occurrences, and (lang, n) of all words."""
+def frequent_phrases(
+    docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, **reading
+) -> tuple[DataFrame, dict[int, DataFrame], DataFrame]:
+    """Of all phrases of up to ``max_words`` words with ``min_count`` occurrences: the words (w1, lang, word, f), the longer ones by their
+    number of words (w1, w2, ..., f), ``w1`` and so on being word ids; and (lang, n) of all words."""
     relation = settled(occurrences(docs, **reading), "occurrences")
     entries = relation.where("code is not null")
     sizes = settled(entries.groupBy("lang").agg(F.sum("n").alias("n")), "sizes")
     words = entries.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
-    words = settled(words.withColumn("id", F.monotonically_increasing_id()), "words")
-    whole = words.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("k"), "f")
-    frequent = entries.select("chunk", "code", "lang", "word").join(words.select("lang", "word", F.col("id").alias("w1")), ["lang", "word"])
+    words = settled(words.withColumn("w1", F.monotonically_increasing_id()), "words")
+    frequent = entries.select("chunk", "code", "lang", "word").join(words.select("lang", "word", "w1"), ["lang", "word"])
+    levels = {}
     for k in range(2, max_words + 1):
-        longer_relation = settled(extended(relation, frequent, k, k == max_words), "occurrences")
-        removed(relation)
-        relation, key = longer_relation, _ids(k)
-        f = F.sum("n").over(Window.partitionBy(*key))
-        counted = relation.where("code is not null").select("chunk", "code", *key, f.alias("f")).where(F.col("f") >= min_count)
-        frequent = settled(counted, "frequent")
-        counts = frequent.groupBy(*key).agg(F.max("f").alias("f"))
-        for w in key:
-            named = words.select(F.col("id").alias(w), *([F.col("lang")] if w == "w1" else []), F.col("word").alias(f"_{w}"))
-            counts = counts.join(named, w)
-        text = F.concat_ws(" ", *[f"_{w}" for w in key])
-        counts = settled(counts.select("lang", text.alias("phrase"), F.lit(k).alias("k"), "f"), "counts")
-        whole = whole.unionByName(counts)
+        before, last, key = relation, k == max_words, _ids(k)
+        relation = settled(extended(before, frequent, k, last), "occurrences")
+        removed(before)
+        entries = relation.where("code is not null")
+        if last:  # nothing is made from these occurrences, so their entries are counted alone
+            counts = entries.groupBy(*key).agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
+        else:
+            f = F.sum("n").over(Window.partitionBy(*key))
+            frequent = settled(entries.select("chunk", "code", *key, f.alias("f")).where(F.col("f") >= min_count), "frequent")
+            counts = frequent.groupBy(*key).agg(F.max("f").alias("f"))
+        levels[k] = settled(counts, "counts")
     removed(relation)
-    return whole, sizes
+    return words, levels, sizes
+
+
+def _counts(level: DataFrame, names: list[str], f: str) -> DataFrame:
+    """A level's phrases under other names of their words and count."""
+    return level.select(*[F.col(w).alias(name) for w, name in zip(_ids(len(names)), names, strict=True)], F.col("f").alias(f))
 
 
 def collocations(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, covered_pct: int = COVERED_PCT, **reading) -> DataFrame:
     """(lang, phrase, k, a, l, r, n, score) of all phrases of 2 words or more that no longer one covers; ``reading`` goes to ``occurrences``."""
-    counts, sizes = frequent_phrases(docs, max_words, min_count, **reading)
-    words = F.split("phrase", " ", -1)
-    candidates = counts.where("k > 1").select("lang", "phrase", "k", F.col("f").alias("a"), words.alias("words"))
-
-    def part(first, many):
-        return F.array_join(F.slice("words", first, many), " ")
-
-    # parts of a frequent phrase are frequent, so both joins keep every cut
-    cuts = candidates.select("*", F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("cut"))
-    cuts = cuts.withColumns({"left": part(F.lit(1), F.col("cut")), "right": part(F.col("cut") + 1, F.col("k") - F.col("cut"))}).drop("words")
-    for side, name in (("left", "l"), ("right", "r")):
-        of = counts.select("lang", F.col("phrase").alias(side), F.col("f").alias(name))
-        cuts = cuts.join(of, ["lang", side]).drop(side)
+    words, levels, sizes = frequent_phrases(docs, max_words, min_count, **reading)
+    whole = None
+    for k, level in levels.items():
+        key, found = _ids(k), level
+        # the most occurrences of a longer phrase around each phrase that some longer one holds
+        around = [_counts_within(levels[size], at, k) for size in levels if size > k for at in range(size - k + 1)]
+        if around:
+            outer = around[0]
+            for more in around[1:]:
+                outer = outer.unionByName(more)
+            outer = outer.groupBy(*key).agg(F.max("outer").alias("outer"))
+            covers = 100 * F.col("outer") >= covered_pct * F.col("f")
+            found = found.join(outer, key, "left").where(~F.coalesce(covers, F.lit(False))).drop("outer")
+        for at, w in enumerate(key):
+            own = [F.col("lang")] if at == 0 else []
+            own += [F.col("f").alias("left1")] if at == 0 else [F.col("f").alias("right1")] if at == k - 1 else []
+            found = found.join(words.select(F.col("w1").alias(w), *own, F.col("word").alias(f"_{w}")), w)
+        # parts of a frequent phrase are frequent, so these joins keep every phrase
+        for size in range(2, k):
+            found = found.join(_counts(levels[size], key[:size], f"left{size}"), key[:size])
+            found = found.join(_counts(levels[size], key[k - size :], f"right{size}"), key[k - size :])
+        cuts = [
+            F.struct(_score(F.col("f"), left, right).alias("score"), F.lit(cut).alias("cut"), left.alias("l"), right.alias("r"))
+            for cut in range(1, k)
+            for left, right in [(F.col(f"left{cut}"), F.col(f"right{k - cut}"))]
+        ]
+        least = F.least(*cuts) if k > 2 else cuts[0]
+        text = F.concat_ws(" ", *[f"_{w}" for w in key])
+        rows = found.select("lang", text.alias("phrase"), F.lit(k).alias("k"), F.col("f").alias("a"), least.alias("least"))
+        rows = rows.select("lang", "phrase", "k", "a", "least.l", "least.r", "least.score")
+        whole = rows if whole is None else whole.unionByName(rows)
+    return whole.join(sizes, "lang").select("lang", "phrase", "k", "a", "l", "r", "n", "score")
+
+
+def _counts_within(level: DataFrame, at: int, k: int) -> DataFrame:
+    """The k words from place ``at`` of each phrase, with the phrase's occurrences."""
+    return level.select(*[F.col(f"w{at + i}").alias(f"w{i}") for i in range(1, k + 1)], F.col("f").alias("outer"))
+
+
+def _score(a: Column, left: Column, right: Column) -> Column:
+    """floor(SCALE a a / (l r)) in decimals of 38 digits, which hold it for counts below 10**16."""
     whole = "decimal(38,0)"
-    over = F.col("a").cast(whole) * F.col("a").cast(whole) * F.lit(SCALE).cast(whole)
-    cuts = cuts.withColumn("over", over.cast(whole)).withColumn("under", (F.col("l").cast(whole) * F.col("r").cast(whole)).cast(whole))
-    cuts = cuts.withColumn("score", F.expr("over div under"))
-    least = F.min(F.struct("score", "cut", "l", "r")).alias("least")
-    scored = cuts.groupBy("lang", "phrase", "k", "a").agg(least).select("lang", "phrase", "k", "a", "least.l", "least.r", "least.score")
-
-    inner = candidates.where("k > 2").select(
-        "lang",
-        F.col("a").alias("outer"),
-        F.explode(
-            F.flatten(
-                F.transform(
-                    F.sequence(F.lit(2), F.col("k") - 1),
-                    lambda size: F.transform(F.sequence(F.lit(1), F.col("k") - size + 1), lambda at: F.array_join(F.slice("words", at, size), " ")),
-                )
-            )
-        ).alias("phrase"),
-    )
-    cover = inner.groupBy("lang", "phrase").agg(F.max("outer").alias("outer"))
-    kept = scored.join(cover, ["lang", "phrase"], "left").where(
-        F.col("outer").isNull() | (100 * F.col("outer") < covered_pct * F.col("a"))
-    )
-    return kept.drop("outer").join(sizes, "lang").select("lang", "phrase", "k", "a", "l", "r", "n", "score")
+    over = ((a.cast(whole) * a.cast(whole)).cast(whole) * F.lit(SCALE).cast(whole)).cast(whole)
+    under = (left.cast(whole) * right.cast(whole)).cast(whole)
+    return F.call_function("div", over, under)
 
 
 def top_phrases(found: DataFrame, many: int) -> DataFrame:
