@@ -40,10 +40,10 @@ from wayledger.llm.tables import mapped
 # Fixed values of the file format.
 MAGIC = b"BITPACK1"
 BLOCK_IDS = 1 << 16
-#: Text bytes that one file takes, and those encoded at once.
-FILE_BYTES, SLICE = 1 << 28, 1 << 20
+#: Characters encoded at once.
+SLICE = 1 << 20
 #: Distinct pieces whose ids a worker keeps, some 200 bytes each; it takes them along from task to task.
-CACHE = 800_000
+CACHE = 1_500_000
 MANIFEST = "part long, file string, n_docs long, n_ids long"
 DOCUMENTS = "doc_id long, place long, start long, ids binary"
 
@@ -198,7 +198,7 @@ class ByteTokenizer:
         self.known: dict[str, bytes] = {}
         letter, number = _class("L"), _class("N")
         self.pieces = re.compile(
-            rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^\s{letter}{number}]+|\s+(?!\S)|\s+"
+            rf" ?[{letter}]+|'(?:s|t|re|ve|m|ll|d)| ?[{number}]+| ?[^\s{letter}{number}]+|\s+(?!\S)|\s+"
         ).findall
         self.other = re.compile("[^" + "".join(map(re.escape, _SAFE)) + "]").search
         self.cut = re.compile(r"(?<=[^\s])(?=[ \t\n\r])")
@@ -275,13 +275,11 @@ def write_ids(
 ) -> DataFrame:
     """Write all documents' ids, each with ``end_id`` after it, in ascending order of document ids; returns the manifest as written.
 
-    ``files`` is by default what the texts fill at ``FILE_BYTES`` each, at least one for each shuffle partition."""
+    ``files`` is by default one for each shuffle partition."""
     spark = docs.sparkSession
     text = docs[text_column].cast("string")
     source = docs.select(docs[id_column].cast("long").alias("doc_id"), text.alias("text"))
-    if files is None:
-        size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
+    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # equal ids in order of their texts; the place cuts a run of equal rows over several files
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("place")]
     ranged = source.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(files, *order).sortWithinPartitions(*order)
