@@ -194,6 +194,8 @@ class ByteTokenizer:
 
         self.library = Tokenizer.from_file(path)
         self.vocabulary = self.library.get_vocab_size()
+        self.opens = np.zeros(self.vocabulary, bool)
+        self.opens[[i for token, i in self.library.get_vocab().items() if token.startswith("Ġ")]] = True  # how the file writes a space
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         letter, number = _class("L"), _class("N")
@@ -229,10 +231,21 @@ class ByteTokenizer:
         if len(self.known) > CACHE:
             self.known.clear()
         new = list(set().union(*cut).difference(self.known))
-        for piece, ids in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[piece] = array("I", ids.ids).tobytes()
+        self.learn(new)
         return [np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), "<u4") for pieces in cut]
 
+    def learn(self, new: list[str]) -> None:
+        """Encode pieces; those of a space and other characters in one text, where each begins with the only id that opens with a space."""
+        spaced = [p for p in new if len(p) > 1 and p[0] == " " and not p[1].isspace()]
+        ids = np.array(self.library.encode_batch_fast(["".join(spaced)], add_special_tokens=False)[0].ids, "<u4")
+        data, ends = ids.tobytes(), (4 * np.flatnonzero(self.opens[ids])).tolist()[1:] + [4 * len(ids)]
+        start = 0
+        for piece, end in zip(spaced, ends if spaced else [], strict=True):
+            self.known[piece], start = data[start:end], end
+        rest = [p for p in new if p not in self.known]
+        for piece, found in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.known[piece] = array("I", found.ids).tobytes()
+
     def documents(self, rows: Iterator[tuple[object, str]]) -> Iterator[tuple[object, Iterable[np.ndarray]]]:
         """(name, slices of ids) of (name, text) in order; short plain texts are looked up together."""
         held: list[tuple[object, str]] = []
