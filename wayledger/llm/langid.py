@@ -3,12 +3,12 @@
 Each language has a context tree of bytes up to order 3.  The code length of a byte in a context is -log2(n(byte) / (N + T)) if the
 context was followed by that byte, else the escape -log2(T / (N + T)) plus the code length in the context shortened by its first byte
 (N: bytes seen after the context, T: different ones); the root escapes to equal shares of all symbols.  A context that a language has
-not seen costs nothing and is shortened.  Statistics are frozen after training, so the code length of a text is a sum over its bytes,
-and the trees are laid out as one table: the deepest context kept for the three bytes before, the byte, the languages.
+not seen costs nothing and is shortened.  Statistics are frozen after training, so the code length of a text is a sum over its bytes.
 
-The trees are fitted on at most about ``SAMPLE`` documents of each language (those whose hash lies under a threshold); the
-``MOST_GRAMS`` most frequent four-byte strings form the trees and the table keeps as many deep contexts as ``MOST_CELLS`` allows, the most
-frequent ones; both only bound the model.  Scoring is one pass over whole texts without a shuffle.
+The trees are kept sparse: for each language and order the sorted contexts with their escapes, and the sorted pairs of context and byte
+with their code lengths.  They are fitted on at most about ``SAMPLE`` documents of each language (those whose hash lies under a
+threshold) and keep every context of these, so the model's size follows the sample.  Scoring is one pass over whole texts without a
+shuffle; each different four-byte string of a slice of texts is looked up once.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; with no training rows every text is ``und``; ties go to
 the first language by name; the score is the share of the language in 2**-code length over all languages; repeated rows score alike; an
@@ -29,40 +29,56 @@ from wayledger.llm.arrays import plain_strings, text_bytes, text_slices
 from wayledger.llm.tables import mapped
 
 SAMPLE = 2000
-MOST_GRAMS = 1 << 20
-MOST_CELLS = 1 << 23
 ORDER = 3
 
 
+@dataclass
+class Level:
+    """Contexts of one length of one language: sorted contexts and pairs (context, byte) as numbers, and their code lengths."""
+
+    contexts: np.ndarray
+    escapes: np.ndarray
+    pairs: np.ndarray
+    hits: np.ndarray
+
+
 @dataclass
 class Trees:
-    """Languages, symbol of each byte, row of each context of three symbols, code lengths (row * symbols + symbol, language)."""
+    """Languages, number of symbols, and for each language its levels from the root on."""
 
     langs: list[str]
-    symbol: np.ndarray
     symbols: int
-    row: np.ndarray
-    bits: np.ndarray
+    levels: list[list[Level]]
+
+    def gram_lengths(self, lang: int, grams: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each four-byte string after the bytes before it, under one language."""
+        bits = np.full(len(grams), np.log2(max(self.symbols, 1)))
+        for order, level in enumerate(self.levels[lang]):
+            pair = grams & ((1 << (8 * order + 8)) - 1)
+            context, known = _found(level.contexts, pair >> 8)
+            hit, seen = _found(level.pairs, pair)
+            bits[known] += level.escapes[context[known]]
+            bits[seen] = level.hits[hit[seen]]
+        return bits
 
     def code_lengths(self, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Bits of each text under each language."""
         out = np.zeros((len(starts) - 1, len(self.langs)))
         if not len(raw):
             return out
-        s = self.symbol[raw]
-        context = np.zeros(len(s), np.int64)
-        position = np.arange(len(s)) - np.repeat(starts[:-1], np.diff(starts))
-        for back in range(ORDER, 0, -1):
-            before = np.zeros(len(s), np.int64)
-            before[back:] = s[:-back]
-            before[position < back] = 0
-            context = context * self.symbols + before
-        cells = self.row[context] * self.symbols + s
+        grams, place = np.unique(four_grams(raw, starts), return_inverse=True)
         full = np.diff(starts) > 0
-        out[full] = np.add.reduceat(self.bits[cells], starts[:-1][full], axis=0, dtype=np.float64)
+        for lang in range(len(self.langs)):
+            out[full, lang] = np.add.reduceat(self.gram_lengths(lang, grams)[place], starts[:-1][full])
         return out
 
 
+def _found(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys in a sorted table, and which keys are there."""
+    at = np.minimum(np.searchsorted(table, keys), max(len(table) - 1, 0))
+    return at, table[at] == keys if len(table) else np.zeros(len(keys), bool)
+
+
 def four_grams(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Each byte with the three before it as one number; bytes before a text are 0."""
     wide = raw.astype(np.int64)
@@ -78,50 +94,22 @@ def four_grams(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def build(langs: list[str], lang: np.ndarray, gram: np.ndarray, count: np.ndarray) -> Trees:
     """Trees from the counts of four-byte strings of each language (``lang`` is an index into ``langs``)."""
-    seen = np.unique(np.concatenate([gram >> (8 * k) & 255 for k in range(ORDER + 1)] + [np.zeros(1, np.int64)]))
-    symbol = np.zeros(256, np.int64)  # bytes never seen share the symbol of byte 0
-    symbol[seen] = np.arange(len(seen))
-    size, many = len(seen), len(langs)
-    parts = [symbol[gram >> (8 * k) & 255] for k in range(ORDER + 1)]  # parts[0] is the byte, parts[1] the one before it ...
-
-    def counts(contexts: np.ndarray, rows: int) -> np.ndarray:
-        out = np.zeros((rows, size, many))
-        kept = contexts >= 0
-        np.add.at(out, (contexts[kept], parts[0][kept], lang[kept]), count[kept])
-        return out
+    symbols = len(np.unique(np.concatenate([gram & 255, np.zeros(1, np.int64)])))
+    levels = []
+    for number in range(len(langs)):
+        own, times = gram[lang == number], count[lang == number]
+        levels.append([_level(own & ((1 << (8 * order + 8)) - 1), times) for order in range(ORDER + 1)])
+    return Trees(langs, symbols, levels)
+
 
-    def lengths(n: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        total, kinds = n.sum(1, keepdims=True), (n > 0).sum(1, keepdims=True)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            hit, escape = -np.log2(n / (total + kinds)), -np.log2(kinds / (total + kinds))
-        return np.where(total == 0, shorter, np.where(n > 0, hit, escape + shorter))
-
-    root = lengths(counts(np.zeros(len(gram), np.int64), 1), np.full((1, size, many), np.log2(size)))
-    one = lengths(counts(parts[1], size), root)
-    room = max(MOST_CELLS // (size * many) - size, 0)
-
-    def deeper(key: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
-        """(kept contexts, index of each gram's context among them or -1): the most frequent ones."""
-        found, place = np.unique(key, return_inverse=True)
-        weight = np.bincount(place, weights=count, minlength=len(found)) if len(found) else np.zeros(0)
-        best = np.sort(np.lexsort((found, -weight))[:room])
-        at = np.full(len(found), -1)
-        at[best] = np.arange(len(best))
-        return found[best], at[place]
-
-    key2 = parts[2] * size + parts[1]
-    found2, at2 = deeper(key2, room)
-    two = lengths(counts(at2, len(found2)), one[found2 % size])
-    map2 = np.tile(np.arange(size), size)  # row of each pair: the single byte unless the pair is kept
-    map2[found2] = size + np.arange(len(found2))
-    upper = np.concatenate([one, two])
-    key3 = parts[3] * size * size + key2
-    found3, at3 = deeper(key3, max(room - len(found2), 0))
-    three = lengths(counts(at3, len(found3)), upper[map2[found3 % (size * size)]])
-    row = np.tile(map2, size).astype(np.int32)
-    row[found3] = len(upper) + np.arange(len(found3))
-    bits = np.concatenate([upper, three]).astype(np.float32).reshape(-1, many)
-    return Trees(langs, symbol, size, row, bits)
+def _level(pair: np.ndarray, count: np.ndarray) -> Level:
+    """Code lengths from pairs (context, byte) and how often each occurred."""
+    pairs, place = np.unique(pair, return_inverse=True)
+    n = np.bincount(place, weights=count, minlength=len(pairs))
+    contexts, first, kinds = np.unique(pairs >> 8, return_index=True, return_counts=True)
+    total = (np.add.reduceat(n, first) if len(first) else np.zeros(0)) + kinds
+    hits = -np.log2(n / np.repeat(total, kinds))
+    return Level(contexts, -np.log2(kinds / total), pairs, hits)
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, seed: int = 3) -> Trees:
@@ -130,7 +118,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, seed: int = 3) -> Trees:
     totals = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(totals)
     if not langs:
-        return Trees([], np.zeros(256, np.int64), 1, np.zeros(1, np.int32), np.zeros((1, 0), np.float32))
+        return Trees([], 1, [])
     parts = 1 << 20
     limit = F.element_at(F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(parts, sample * parts // totals[lang] + 1))]), F.col("lang"))
     number = F.element_at(F.create_map(*[F.lit(x) for i, lang in enumerate(langs) for x in (lang, i)]), F.col("lang"))
@@ -145,8 +133,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, seed: int = 3) -> Trees:
                 key, n = np.unique(key, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
 
-    counts = mapped(some, run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    got = counts.orderBy(F.desc("n"), "key").limit(MOST_GRAMS).toArrow()
+    got = mapped(some, run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     key, n = got.column("key").to_numpy(), got.column("n").to_numpy()
     return build(langs, key >> 32, key & 0xFFFFFFFF, n)
 
