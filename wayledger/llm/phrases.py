@@ -200,7 +200,8 @@ def frequent_phrases(
     entries = relation.where("code is not null")
     sizes = settled(entries.groupBy("lang").agg(F.sum("n").alias("n")), "sizes")
     words = entries.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
-    words = settled(words.withColumn("w1", F.monotonically_increasing_id()), "words")
+    # common words first: small ids, which the shuffles of longer phrases compress well
+    words = settled(words.sort(F.desc("f"), "lang", "word").withColumn("w1", F.monotonically_increasing_id()), "words")
     frequent = entries.select("chunk", "code", "lang", "word").join(words.select("lang", "word", "w1"), ["lang", "word"])
     levels = {}
     for k in range(2, max_words + 1):
