@@ -1,7 +1,6 @@
 """Edge cases on literal rows."""
 
 import csv
-import re
 from datetime import date
 
 import pytest
@@ -79,6 +78,30 @@ def test_pseudo_order_hidden_by_markup(clean):
     assert clean({"bnb_name": "補 款"}).count() == 1
 
 
+def test_large_numbers_keep_their_value(clean):
+    def amount(text):
+        return clean({"twd_amount": text}).first().twd_amount
+    for text in ("1e19", "9999999999999999999", "-12345678901234567890123.5", "1e300", " 3.5e2 ", "1,234,567,890,123,456,789,012"):
+        assert amount(text) == float(text.replace(",", ""))
+    for text in ("1d", "1f", "NaN", "inf", "0x10", "1e", ".", "--1", "1 2"):
+        assert amount(text) == 0
+    counts = clean({"guests": "1e19", "adult": "2.9e3", "child": "-7.9", "nights": "12345678901234567890"}).first()
+    assert (counts.guests, counts.adult, counts.child, counts.nights) == (0, 2900, -7, 0)
+
+
+def test_date_forms_and_unreadable_dates(spark, raw, tmp_path):
+    table = raw(
+        *({"order_date": d} for d in ("1/5/2024", "20240105", "2024.1.5", "2024/1/5", "5 January", None)),
+        {"order_date": "2024-01-05", "check_in": "soon", "check_out": "20240107"},
+    )
+    seen = Observation()
+    write_clean(clean_bookings(table, ["M/d/yyyy", "yyyyMMdd", "yyyy.M.d"], seen), str(tmp_path / "clean"))
+    assert seen.get == {"unreadable_order_date": 1, "unreadable_check_in": 1, "unreadable_check_out": 0}
+    days = [r.order_date and r.order_date.date() for r in read_clean(spark, str(tmp_path / "clean")).collect()]
+    assert sorted(days, key=str) == [date(2024, 1, 5)] * 5 + [None] * 2
+    assert clean_bookings(table).filter("order_date is not null").count() == 2
+
+
 # -- sources ----------------------------------------------------------------
 
 HEADER = (
@@ -330,8 +353,11 @@ def test_search_is_a_pattern_unless_literal(clean):
     assert filters.search(table, "nan").count() == 1
     assert filters.search(table, "(", literal=True).count() == 1
     assert filters.search(table, "  ").count() == 2
-    with pytest.raises(re.error):
-        filters.search(table, "(")
+    for odd in ("(", "(a)?(?(1)b)", "a{2,1}"):  # the second is an expression in other dialects only
+        with pytest.raises(ValueError, match="not a regular expression"):
+            filters.search(table, odd)
+    assert filters.search(table, r"^\w+\(").count() == 1  # letters of every script
+    assert filters.search(table, "[a-z&&[^t-z]]{5}").count() == 0  # Java's intersection of classes
     assert rows(order_totals(filters.search(table, "absent"))) == [(0, 0.0)]
 
 

@@ -12,14 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wayledger.functions import rules
-from wayledger.functions.text import alternation, known, mentions, strip
-
-_FOREIGN = alternation(rules.FOREIGN_PORTS)
-_HOME = alternation(rules.HOME_PORTS)
-FOREIGN_EMBARK = rf"({_FOREIGN})[^，。]{{0,5}}(登船|上船|出發)"
-HOME_DEPARTURE = rf"[（(]({_HOME})|({_HOME}) ?(蘇澳)? ?(啟航|出發|登船|上船)|({_HOME}) ?[-－]"
-# "贈登船…" and the like advertise a gift, not a port.
-ANY_EMBARK = r"(?<![贈送迎])(登船|上下船|上船)"
+from wayledger.functions.text import alternation, known, matches, mentions, strip
 
 
 def first_hit(text: Column, ordered: Iterable[tuple[str, str]], default: Column) -> Column:
@@ -54,9 +47,9 @@ def cruise_type(line: Column, name: Column) -> Column:
     sails_from_home = first_hit(
         name,
         [
-            (rules.FLY_CRUISE, FOREIGN_EMBARK),
-            (rules.HOMEPORT, HOME_DEPARTURE),
-            (rules.FLY_CRUISE, f"{ANY_EMBARK}|{rules.REPOSITIONING}"),
+            (rules.FLY_CRUISE, rules.FOREIGN_EMBARK),
+            (rules.HOMEPORT, rules.HOME_DEPARTURE),
+            (rules.FLY_CRUISE, f"{rules.ANY_EMBARK}|{rules.REPOSITIONING}"),
             (rules.HOMEPORT, alternation(rules.HOMEPORT_FLEET_NAMES)),
         ],
         F.lit(rules.FLY_CRUISE),
@@ -108,10 +101,10 @@ def cruise_destinations(name: Column) -> Column:
 
 def seb_type(line: Column, bnb_type: Column, name: Column) -> Column:
     kind = (
-        F.when(mentions(name, rules.SPECTATE_WORDS), rules.SEB_SPECTATE)
-        .when(mentions(name, rules.TRIATHLON_WORDS, ignore_case=True), rules.SEB_TRIATHLON)
-        .when((known(bnb_type) == "ski") | mentions(name, rules.SKI_WORDS, ignore_case=True), rules.SEB_SKI)
-        .when(mentions(name, rules.MARATHON_WORDS, ignore_case=True), rules.SEB_MARATHON)
+        F.when(matches(name, rules.SPECTATE), rules.SEB_SPECTATE)
+        .when(matches(name, rules.TRIATHLON, ignore_case=True), rules.SEB_TRIATHLON)
+        .when((known(bnb_type) == "ski") | matches(name, rules.SKI, ignore_case=True), rules.SEB_SKI)
+        .when(matches(name, rules.MARATHON, ignore_case=True), rules.SEB_MARATHON)
         .otherwise(rules.SEB_OTHER)
     )
     return F.when(line == "SEB", kind).otherwise("")

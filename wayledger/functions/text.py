@@ -7,7 +7,7 @@ a one-argument ``trim`` will do.  Regular expressions are kept for values that n
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,6 +19,9 @@ SPACES = (
 )
 ODD_SPACE = r"\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 NUMBER = "decimal(38,19)"
+NUMBER_FORM = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+# A place between a letter, digit or underscore of any script and something else.
+WORD_EDGE = r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_]))"
 
 
 def known(text: Column) -> Column:
@@ -46,42 +49,47 @@ def has_ink(text: Column) -> Column:
 
 
 def alternation(words: Iterable[str]) -> str:
-    """One pattern that finds any of the words; a trailing ``!`` asks for a whole word."""
-    parts = []
-    for word in words:
-        if word.endswith("!"):
-            parts.append(rf"(?<![\p{{L}}\p{{N}}_]){re.escape(word[:-1])}(?![\p{{L}}\p{{N}}_])")
-        else:
-            parts.append(re.escape(word))
-    return "|".join(parts)
+    """One pattern that finds any of the words."""
+    return "|".join(map(re.escape, words))
 
 
 def mentions(text: Column, words: Iterable[str], ignore_case: bool = False) -> Column:
-    return text.rlike(("(?iu)" if ignore_case else "") + alternation(words))
+    return matches(text, alternation(words), ignore_case)
 
 
-def to_number(text: Column) -> Column:
-    """Number, or NULL for anything that is not a plain decimal number.
+def matches(text: Column, pattern: str, ignore_case: bool = False) -> Column:
+    """Whether a pattern occurs in the text; its ``\\b`` sees letters, digits and underscores of every script as parts of words."""
+    return text.rlike(("(?iu)" if ignore_case else "") + pattern.replace(r"\b", WORD_EDGE))
 
-    Decimal parsing takes exactly the plain forms ("2.7", "1e3", " 12 "), unlike a cast to double, which
-    also reads "1d" and "NaN".
+
+def to_number(text: Column, kind: str = "double") -> Column:
+    """A plain decimal number ("2.7", "1e3", " 12 ") as a type, NULL for anything else.
+
+    Decimal parsing takes exactly the plain forms, unlike a cast to double, which also reads "1d" and "NaN".  A number beyond its range
+    is read as a double once its form is checked, so no size is refused.
     """
-    return text.try_cast(NUMBER)
+    large = F.when(text.rlike(NUMBER_FORM), text.try_cast("double"))
+    return F.coalesce(text.try_cast(NUMBER).try_cast(kind), large.try_cast(kind))
 
 
 def to_count(text: Column) -> Column:
-    """BIGINT truncated toward zero; unreadable values are 0."""
-    return F.coalesce(to_number(text).try_cast("bigint"), F.lit(0).cast("bigint"))
+    """BIGINT truncated toward zero; unreadable values, and those that no BIGINT holds, are 0."""
+    return F.coalesce(to_number(text, "bigint"), F.lit(0).cast("bigint"))
 
 
 def to_amount(text: Column) -> Column:
     """DOUBLE after dropping thousands commas; unreadable values are 0."""
-    return F.coalesce(to_number(F.replace(text, F.lit(","), F.lit(""))).cast("double"), F.lit(0.0))
+    return F.coalesce(to_number(F.replace(text, F.lit(","), F.lit("")), "double"), F.lit(0.0))
+
 
+def to_moment(text: Column, forms: Sequence[str] = ()) -> Column:
+    """TIMESTAMP_NTZ from year-month-day text with ``-`` or ``/``, with or without a time; else NULL.
 
-def to_moment(text: Column) -> Column:
-    """TIMESTAMP_NTZ from year-month-day text with ``-`` or ``/``, with or without a time; else NULL."""
-    return F.replace(text, F.lit("/"), F.lit("-")).try_cast("timestamp_ntz")
+    ``forms`` are further date patterns ("M/d/yyyy", "yyyyMMdd"), tried in their order where the first reading fails."""
+    usual = F.replace(text, F.lit("/"), F.lit("-")).try_cast("timestamp_ntz")
+    if not forms:
+        return usual
+    return F.coalesce(usual, *[F.try_to_date(text, form).cast("timestamp_ntz") for form in forms])
 
 
 def moment(value) -> Column:

@@ -27,11 +27,13 @@ def quoted(words) -> str:
 
 
 def hit(column: str, words, flags: str = "") -> str:
-    parts = [
-        rf"(^|[^\p{{L}}\p{{N}}_]){w[:-1]}([^\p{{L}}\p{{N}}_]|$)" if w.endswith("!") else re.escape(w).replace("\\ ", " ")
-        for w in words
-    ]
-    pattern = "|".join(parts)
+    pattern = "|".join(re.escape(w).replace("\\ ", " ") for w in words)
+    return f"regexp_matches({column}, '{flags}{pattern}')"
+
+
+def found(column: str, pattern: str, flags: str = "") -> str:
+    """A plain pattern in this engine's words: its own word edges know ASCII only."""
+    pattern = re.sub(r"\\b(\w+)\\b", r"(^|[^\\p{L}\\p{N}_])\1([^\\p{L}\\p{N}_]|$)", pattern)
     return f"regexp_matches({column}, '{flags}{pattern}')"
 
 
@@ -69,9 +71,8 @@ _LINE = f"""CASE
   WHEN bnb_type IN ('Attraction Tickets','Land tour','Tours & Experiences','Transportation') THEN 'Day Tour'
   ELSE '其他' END"""
 
-_FOREIGN = "|".join(rules.FOREIGN_PORTS)
 _CRUISE_TYPE = f"""CASE WHEN product_line <> 'Cruise' THEN ''
-  WHEN regexp_matches(bnb_name, '({_FOREIGN})[^，。]{{0,5}}(登船|上船|出發)') THEN '飛航郵輪'
+  WHEN {found('bnb_name', rules.FOREIGN_EMBARK)} THEN '飛航郵輪'
   WHEN regexp_matches(bnb_name, '[（(](基隆|高雄)') OR regexp_matches(bnb_name, '(基隆|高雄)\\s*[-－]')
     OR regexp_matches(bnb_name, '(基隆|高雄)\\s*(蘇澳)?\\s*(啟航|出發|登船|上船)') THEN '母港出發'
   WHEN regexp_matches(bnb_name, '(^|[^贈送迎])(登船|上下船|上船)') THEN '飛航郵輪'
@@ -80,10 +81,10 @@ _CRUISE_TYPE = f"""CASE WHEN product_line <> 'Cruise' THEN ''
   ELSE '飛航郵輪' END"""
 
 _SEB_TYPE = f"""CASE WHEN product_line <> 'SEB' THEN ''
-  WHEN {hit('bnb_name', rules.SPECTATE_WORDS)} THEN '{rules.SEB_SPECTATE}'
-  WHEN {hit('bnb_name', rules.TRIATHLON_WORDS, '(?i)')} THEN '{rules.SEB_TRIATHLON}'
-  WHEN bnb_type = 'ski' OR {hit('bnb_name', rules.SKI_WORDS, '(?i)')} THEN '{rules.SEB_SKI}'
-  WHEN {hit('bnb_name', rules.MARATHON_WORDS, '(?i)')} THEN '{rules.SEB_MARATHON}'
+  WHEN {found('bnb_name', rules.SPECTATE)} THEN '{rules.SEB_SPECTATE}'
+  WHEN {found('bnb_name', rules.TRIATHLON, '(?i)')} THEN '{rules.SEB_TRIATHLON}'
+  WHEN bnb_type = 'ski' OR {found('bnb_name', rules.SKI, '(?i)')} THEN '{rules.SEB_SKI}'
+  WHEN {found('bnb_name', rules.MARATHON, '(?i)')} THEN '{rules.SEB_MARATHON}'
   ELSE '{rules.SEB_OTHER}' END"""
 
 _SEB_COUNTRY = f"""CASE WHEN product_line <> 'SEB' THEN ''

@@ -6,11 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayledger.operators.measures import orders, revenue
+from wayledger.sources.bookings import EXPORT_NAMES
 
-ORDER_COLUMNS = [
-    "order_id", "order_date", "product_line", "bnb_name", "bnb_city", "booking_status", "affiliate_id",
-    "check_in", "check_out", "nights", "twd_amount",
-]
+ORDER_COLUMNS = list(EXPORT_NAMES)
 
 
 def order_list(found: DataFrame) -> DataFrame:
