@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wayledger.llm.arrays import mix64, plain_strings, text_slices, word_hashes
-from wayledger.llm.tables import mapped, stored
+from wayledger.llm.tables import mapped, settled, stored
 
 BACKOFF = 0.4
 #: Words and bigrams with more than one in so many positions are broadcast: at most so many of either.
@@ -109,7 +109,7 @@ def stupid_backoff(docs: DataFrame, corpus: DataFrame | None = None, id_column:
     source = source.withColumn("rid", F.monotonically_increasing_id())
     corpus = source if own else corpus.select(F.col("text"))
 
-    words = stored(key_counts(corpus, lambda v, w: np.concatenate([w, v[v == START]])), "words")
+    words = settled(key_counts(corpus, lambda v, w: np.concatenate([w, v[v == START]])), "words")
     start = np.array([START]).view(np.int64)[0].item()
     total = words.where(F.col("key") != start).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     heavy_words = heavy_table(words, total)
@@ -119,7 +119,7 @@ def stupid_backoff(docs: DataFrame, corpus: DataFrame | None = None, id_column:
         both = (find(heavy_set.value, v) > 0) & (find(heavy_set.value, w) > 0)
         return bigram_key(v[both], w[both])
 
-    heavy_pairs = heavy_table(stored(key_counts(corpus, both_heavy), "pairs"), total)
+    heavy_pairs = heavy_table(settled(key_counts(corpus, both_heavy), "pairs"), total)
     tables = spark_broadcast(docs, (heavy_words, heavy_pairs))
 
     def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +262,7 @@ def held_out_backoff(docs: DataFrame, order: int = 3, id_column: str = "doc_id",
 
         return mapped(source.select("text"), run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
-    words = stored(counts(None, 1), "words")
+    words = settled(counts(None, 1), "words")
     start = mix64(np.array([START])).view(np.int64)[0].item()
     total = words.where(F.col("key") != start).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     tables = [heavy_table(words, total)]
