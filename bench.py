@@ -49,7 +49,8 @@ def main() -> None:
 
     queries = {name: timed(lambda: run(R.QUERIES[name](spark, SF_DIR))) for name in HEADLINE}
 
-    path = os.path.join(tempfile.mkdtemp(prefix="run-", dir="/tmp"), "clean")
+    # on a cluster BENCH_STORE names a shared folder by URI; a machine's own folder serves local runs only
+    path = os.environ.get("BENCH_STORE") or os.path.join(tempfile.mkdtemp(prefix="run-", dir="/tmp"), "clean")
     stored = {"write_clean": timed(lambda: write_clean(R.every(spark, SF_DIR), path))}
 
     def flagged(period=R.HALVES):
