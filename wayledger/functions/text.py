@@ -62,24 +62,24 @@ def matches(text: Column, pattern: str, ignore_case: bool = False) -> Column:
     return text.rlike(("(?iu)" if ignore_case else "") + pattern.replace(r"\b", WORD_EDGE))
 
 
-def to_number(text: Column, kind: str = "double") -> Column:
-    """A plain decimal number ("2.7", "1e3", " 12 ") as a type, NULL for anything else.
+def to_number(text: Column) -> Column:
+    """DOUBLE of a plain decimal number ("2.7", "1e3", " 12 "), NULL for anything else.
 
     Decimal parsing takes exactly the plain forms, unlike a cast to double, which also reads "1d" and "NaN".  A number beyond its range
     is read as a double once its form is checked, so no size is refused.
     """
     large = F.when(text.rlike(NUMBER_FORM), text.try_cast("double"))
-    return F.coalesce(text.try_cast(NUMBER).try_cast(kind), large.try_cast(kind))
+    return F.coalesce(text.try_cast(NUMBER).cast("double"), large)
 
 
 def to_count(text: Column) -> Column:
     """BIGINT truncated toward zero; unreadable values, and those that no BIGINT holds, are 0."""
-    return F.coalesce(to_number(text, "bigint"), F.lit(0).cast("bigint"))
+    return F.coalesce(text.try_cast(NUMBER).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def to_amount(text: Column) -> Column:
     """DOUBLE after dropping thousands commas; unreadable values are 0."""
-    return F.coalesce(to_number(F.replace(text, F.lit(","), F.lit("")), "double"), F.lit(0.0))
+    return F.coalesce(to_number(F.replace(text, F.lit(","), F.lit(""))), F.lit(0.0))
 
 
 def to_moment(text: Column, forms: Sequence[str] = ()) -> Column:
