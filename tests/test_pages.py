@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wayledger.functions import rules
 from wayledger.operators.filters import filter_bookings
+from wayledger.operators.measures import condense
 from wayledger.operators.periods import Period, date_bounds, flag_periods, period_bounds
 from wayledger.plans import pages
 from wayledger.plans import registry as R
@@ -136,6 +137,25 @@ def test_a_page_scans_its_bookings_once(spark, small, tmp_path, name):
     assert not page.shared.storageLevel.useMemory
 
 
+@pytest.mark.parametrize("name", sorted(set(PAGES) - {"search", "insights"}))
+def test_a_stacked_page_reads_the_shared_table_alone(spark, small, name):
+    """Also where all tables are in one plan: each of them is found in the cache, none reads the bookings again."""
+    page = PAGES[name](R.flagged(spark, small))
+    page.pop("holidays", None)
+    kinds = {leaf.nodeName() for leaf in leaves(pages.stacked(page))}
+    assert "InMemoryRelation" in kinds and "LogicalRelation" not in kinds, kinds
+    page.release()
+
+
+def test_a_key_that_is_null_is_a_group_of_its_grouping(spark):
+    table = spark.createDataFrame([("a", None, 1.0), ("a", None, 2.0), (None, "x", 4.0)], "k string, m string, twd_amount double")
+    got = condense(table, ["k", "m"], ["m"]).collect()
+    assert sorted((r.grouping, r.k, r.m, r.bookings, r.twd_amount) for r in got if r.k) == [(0, "a", None, 2, 3.0)]
+    assert sorted(((r.grouping, r.k, r.m, r.bookings, r.twd_amount) for r in got if not r.k), key=str) == [
+        (0, None, "x", 1, 4.0), (1, None, None, 2, 3.0), (1, None, "x", 1, 4.0),
+    ]
+
+
 def test_date_bounds_read_two_months(spark, clean, tmp_path):
     path = str(tmp_path / "clean")
     table = clean(*({"order_date": d} for d in ("2024-01-30", "2024-01-09", "2024-02-11", "2024-03-01", "2024-03-28", None, "x")))

@@ -40,15 +40,15 @@ def condense(flagged: DataFrame, *groupings: Sequence[str]) -> DataFrame:
     Keys of other groupings are NULL in a row, so a report reads the rows of the one grouping that holds its keys."""
     flags = [c for c in ("is_cur", "is_prev") if c in flagged.columns]
     keys = list(dict.fromkeys(k for g in groupings for k in g))
-    order = [*flags, *keys]
-    sets = [[F.col(c) for c in (*flags, *g)] for g in groupings]
-    table = flagged.groupingSets(sets, *order).agg(
-        F.grouping_id().alias("_bits"), counted(flagged).alias(WEIGHT), F.coalesce(F.sum("twd_amount"), F.lit(0.0)).alias("twd_amount")
-    )
-    # a bit of grouping_id is set where a column is rolled up, the first column being the highest bit
-    bits = [sum(0 if c in flags or c in g else 1 << (len(order) - 1 - i) for i, c in enumerate(order)) for g in groupings]
-    place = F.coalesce(*[F.when(F.col("_bits") == b, F.lit(i)) for i, b in enumerate(bits)])
-    return table.withColumn("grouping", place).drop("_bits")
+    # not grouping sets: two uses of them in one plan differ in column ids, and Spark then finds the cached table for the first use only
+    place = F.lit(0) if len(groupings) == 1 else F.explode(F.array(*[F.lit(i) for i in range(len(groupings))]))
+    each = flagged.withColumn("grouping", place)
+    for key in keys:
+        own = [i for i, g in enumerate(groupings) if key in g]
+        if len(own) < len(groupings):
+            each = each.withColumn(key, F.when(F.col("grouping").isin(own), F.col(key)))
+    table = each.groupBy(*flags, *keys, "grouping").agg(counted(flagged).alias(WEIGHT), F.coalesce(F.sum("twd_amount"), F.lit(0.0)).alias("twd_amount"))
+    return table.select(*flags, *keys, WEIGHT, "twd_amount", "grouping")
 
 
 def revenue() -> Column:
