@@ -65,3 +65,25 @@ def test_held_out_edges(table):
     assert lm.held_out_backoff(table.where("false")).count() == 0
     alone = lm.held_out_backoff(table.where("doc_id = 0"), 3).first()
     assert alone.score == pytest.approx(6 * 2 * np.log(lm.BACKOFF))
+
+
+@pytest.mark.parametrize("heavy", [1, 20, 50_000])
+@pytest.mark.parametrize("other", [False, True])
+def test_scores_do_not_depend_on_the_passes(table, monkeypatch, heavy, other):
+    """Each pass has a share of the keys; together they give what one pass gives, also for another corpus."""
+    monkeypatch.setattr(lm, "HEAVY", heavy)
+    corpus = table.where("doc_id % 2 = 0").select("text") if other else None
+    got = []
+    for passes in (1, 2, 5):
+        monkeypatch.setattr(lm, "PASSES", passes)
+        got.append([(r.doc_id, r.n_tokens, r.score) for r in lm.stupid_backoff(table, corpus).orderBy("doc_id").collect()])
+    assert any(score < 0 for _, _, score in got[0])
+    for one in got[1:]:
+        assert [r[:2] for r in one] == [r[:2] for r in got[0]]
+        assert [r[2] for r in one] == pytest.approx([r[2] for r in got[0]], abs=1e-9)
+
+
+def test_two_passes_shuffle_about_half_of_the_keys_each():
+    keys = np.arange(1, 20_001, dtype=np.uint64)
+    share = lm.share_of(lm.mix64(keys), lm.PASSES)
+    assert lm.PASSES >= 2 and abs(np.bincount(share.astype(int), minlength=lm.PASSES) / len(keys) - 1 / lm.PASSES).max() < 0.02

@@ -12,7 +12,8 @@ Counts of words come from one pass with partial sums.  Words and bigrams that ma
 which there are at most ``HEAVY``, are counted first and broadcast; their share of a score is taken where the text is read.  All other
 positions become one row for each document and bigram, and are shuffled once, hashed by the first word or, where that is heavy, by the
 bigram: then c(v w) and c(v), to which last words of texts add rows of their own, are sums over windows of the same partition, and no key has more than one in ``HEAVY`` of all rows.  A
-last sum by document adds up its logarithms.
+last sum by document adds up its logarithms.  The keys are dealt into ``PASSES`` shares, worked on one after another: a share's sums are
+written and its shuffle files removed before the next share is shuffled, so disk holds one share of the rows at a time.
 
 Where the corpus is another table than the documents, both go through the same shuffle, the corpus with its counts and the documents
 with none, and bigrams that the corpus lacks are joined to the word counts.
@@ -24,6 +25,7 @@ ignored."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,8 @@ from wayledger.llm.tables import mapped, settled, stored
 BACKOFF = 0.4
 #: Words and bigrams with more than one in so many positions are broadcast: at most so many of either.
 HEAVY = 50_000
+#: Shares of the keys, shuffled one after another; the texts are read once for each.
+PASSES = 2
 START = np.uint64(0x51A27B0C3D4E5F61)
 #: Second key of a text's last word, which starts no bigram; other second keys are 0 or odd.
 LAST = np.int64(2)
@@ -56,6 +60,11 @@ def bigram_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix64(v * np.uint64(0x9DDFEA08EB382D69) + w)
 
 
+def share_of(keys: np.ndarray, passes: int) -> np.ndarray:
+    """The share of each key, by its high bits."""
+    return (keys >> np.uint64(40)) % np.uint64(passes)
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -104,7 +113,7 @@ def find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
 
 def stupid_backoff(docs: DataFrame, corpus: DataFrame | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_tokens, score) of each row of ``docs``; ``corpus`` (text) is ``docs`` itself by default."""
-    own = corpus is None
+    own, passes = corpus is None, PASSES
     source = docs.select(docs[id_column].cast("long").alias("did"), docs[text_column].cast("string").alias("text"))
     source = source.withColumn("rid", F.monotonically_increasing_id())
     corpus = source if own else corpus.select(F.col("text"))
@@ -136,8 +145,8 @@ def stupid_backoff(docs: DataFrame, corpus: DataFrame | None = None, id_column:
                     ["rid", "did", "n_tokens", "part"],
                 )
 
-    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each document and bigram that isn't heavy: pkey decides the partition, skey is 0 where pkey is the bigram."""
+    def postings(batches: Iterator[pa.RecordBatch], share: int) -> Iterator[pa.RecordBatch]:
+        """A row for each document and bigram of this share that isn't heavy: pkey decides the partition, skey is 0 where pkey is the bigram."""
         for batch in batches:
             text = plain_strings(batch.column(1))
             rid = batch.column(0).to_numpy()
@@ -145,6 +154,8 @@ def stupid_backoff(docs: DataFrame, corpus: DataFrame | None = None, id_column:
                 v, w, starts = bigrams(text.slice(lo, hi - lo))
                 doc = np.repeat(np.arange(lo, hi), np.diff(starts))
                 pair, final = bigram_key(v, w), w
+                mine = share_of(np.where(find(tables.value[0], v) > 0, pair, v), passes) == share
+                v, w, pair, doc = v[mine], w[mine], pair[mine], doc[mine]
                 light = find(tables.value[1], pair) == 0
                 v, w, pair, doc = v[light], w[light], pair[light], doc[light]
                 order = np.lexsort((pair, doc))
@@ -161,7 +172,7 @@ def stupid_backoff(docs: DataFrame, corpus: DataFrame | None = None, id_column:
                     # the last word of a text starts no bigram but counts towards c(v)
                     ends = np.flatnonzero(np.diff(starts) > 0)
                     last = final[starts[ends + 1] - 1]
-                    plain = find(tables.value[0], last) == 0
+                    plain = (find(tables.value[0], last) == 0) & (share_of(last, passes) == share)
                     ends, last = ends[plain], last[plain]
                     extra = [_signed(last), pa.array(np.full(len(last), LAST)), pa.array(rid[lo + ends]), pa.array(np.ones(len(last), np.int32))]
                     columns = [pa.concat_arrays([c, x]) for c, x in zip(columns, extra, strict=True)]
@@ -172,25 +183,30 @@ def stupid_backoff(docs: DataFrame, corpus: DataFrame | None = None, id_column:
 
     shape = "pkey long, skey long, rid long, tf int" + ("" if own else ", v long, w long")
     bases = mapped(source.select("rid", "did", "text"), base, "rid long, did long, n_tokens long, part double")
-    rows = mapped(source.select("rid", "text"), postings, shape)
-    count = F.col("tf")
-    if not own:
-        given = mapped(corpus.select(F.lit(-1).cast("long").alias("rid"), "text"), postings, shape)
-        rows, count = rows.unionByName(given), F.when(F.col("rid") == -1, F.col("tf")).otherwise(0)
-    first = F.sum(count).over(Window.partitionBy("pkey"))
-    pair = F.sum(count).over(Window.partitionBy("pkey", "skey"))
-    counted = rows.withColumns({"cv": first, "cp": pair})
-    log_v = F.when(F.col("skey") == 0, 0.0).otherwise(F.log("cv"))
-    if own:
-        gain = F.when(F.col("skey") == int(LAST), 0.0).otherwise(F.col("tf") * (F.log("cp") - log_v))
-        sums = counted.groupBy("rid").agg(F.sum(gain).alias("light"))
-    else:
+
+    def gains(share: int) -> DataFrame:
+        """(rid, light): what the bigrams of this share give each document."""
+        of_share = partial(postings, share=share)
+        rows, count = mapped(source.select("rid", "text"), of_share, shape), F.col("tf")
+        if not own:
+            given = mapped(corpus.select(F.lit(-1).cast("long").alias("rid"), "text"), of_share, shape)
+            rows, count = rows.unionByName(given), F.when(F.col("rid") == -1, F.col("tf")).otherwise(0)
+        first = F.sum(count).over(Window.partitionBy("pkey"))
+        pair = F.sum(count).over(Window.partitionBy("pkey", "skey"))
+        counted = rows.withColumns({"cv": first, "cp": pair})
+        log_v = F.when(F.col("skey") == 0, 0.0).otherwise(F.log("cv"))
+        if own:
+            gain = F.when(F.col("skey") == int(LAST), 0.0).otherwise(F.col("tf") * (F.log("cp") - log_v))
+            return counted.groupBy("rid").agg(F.sum(gain).alias("light"))
         # the heavy first word's count is looked up again, as it counts only where the bigram is in the corpus
         hits = counted.where("rid <> -1 and cp > 0").join(words.select(F.col("key").alias("v"), F.col("n").alias("nv")), "v")
         hits = hits.select("rid", (F.col("tf") * (F.log("cp") - F.log("nv"))).alias("gain"))
         lost = counted.where("rid <> -1 and cp = 0").select("rid", "tf", F.col("w").alias("key")).join(words, "key", "left")
         lost = lost.select("rid", (F.col("tf") * F.log(BACKOFF * F.coalesce("n", F.lit(1)) / F.lit(max(total, 1)))).alias("gain"))
-        sums = hits.unionByName(lost).groupBy("rid").agg(F.sum("gain").alias("light"))
+        return hits.unionByName(lost).groupBy("rid").agg(F.sum("gain").alias("light"))
+
+    shares = [settled(gains(share), "gains") for share in range(passes)]
+    sums = reduce(DataFrame.unionByName, shares).groupBy("rid").agg(F.sum("light").alias("light"))
     return bases.join(sums, "rid", "left").select(
         F.col("did").alias("doc_id"), "n_tokens", (F.col("part") + F.coalesce("light", F.lit(0.0))).alias("score")
     )
